@@ -21,12 +21,12 @@ class Settings:
 
     sample: int = 8_000
     books: int = 16
-    words: int = 256
+    words: int = 128
     beam: int = 4
     rounds: int = 1
     block: int = 16_384
     query_block: int = 2_048
-    rerank: int = 700
+    rerank: int = 1_000
     seed: int = 5
 
 

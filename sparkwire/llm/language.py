@@ -30,7 +30,7 @@ UNDETERMINED = "und"
 class Settings:
     """per_lang bounds the sampled texts of each language, max_bytes the size of a sampled text."""
 
-    per_lang: int = 1200
+    per_lang: int = 800
     max_bytes: int = 1 << 15
     dims: int = 4096
     epochs: int = 12

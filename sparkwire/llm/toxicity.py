@@ -20,6 +20,8 @@ for _b in range(256):
     elif _b >= 128:
         LETTERS[_b] = _b
 PREFIX = 4
+#: Texts of the sample handled at once.
+RUN = 128
 
 
 @dataclass(frozen=True)
@@ -111,8 +113,15 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], settings:
         m.out[:] = 0
         m.out_bias = 0.0 if not len(texts) else (-4.0 if labels[0] == 0 else 4.0)
         return m
-    ids, doc, n = words(pa.array(texts, pa.string()), s)
-    at = np.searchsorted(doc, np.arange(n + 1))
+    # in runs of texts, so that the driver holds the bucket numbers of the sample and little more
+    n, parts, sizes = len(texts), [], []
+    for k in range(0, n, RUN):
+        i, d, c = words(pa.array(texts[k : k + RUN], pa.string()), s)
+        parts.append(i.astype(np.int32))
+        sizes.append(np.bincount(d, minlength=c))
+    ids = np.concatenate(parts, 1)
+    at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    del parts
     order = rng.permutation(n)
     held = np.zeros(n, bool)
     if n >= 50:
@@ -172,7 +181,11 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], settings:
                 np.add.at(total, inv, g)
                 g_emb[t][u] += (total**2).mean(1)
                 m.emb[t][u] -= rate * total / np.sqrt(g_emb[t][u])[:, None]
-    calibrate(m, m.logits(ids, doc, n), labels, np.array([x or "" for x in langs], object), held if held.any() else np.ones(n, bool))
+    logit = np.zeros(n, np.float32)
+    for k in range(0, n, RUN):
+        e = min(k + RUN, n)
+        logit[k:e] = m.logits(ids[:, at[k] : at[e]], np.repeat(np.arange(e - k), np.diff(at[k : e + 1])), e - k)
+    calibrate(m, logit, labels, np.array([x or "" for x in langs], object), held if held.any() else np.ones(n, bool))
     return m
 
 
