@@ -134,11 +134,10 @@ def measure(texts: pa.Array, limits: Limits) -> list[np.ndarray]:
     cuts = np.flatnonzero(data == 10)
     line = np.unique(np.concatenate([offsets[:-1], cuts + 1]))
     line = line[line < total]
-    stops = np.sort(np.concatenate([cuts, offsets[1:]]))
-    stop = stops[np.searchsorted(stops, line)] if len(line) else line
-    worded = np.searchsorted(begin, line) < np.searchsorted(begin, stop)
-    line, stop = line[worded], stop[worded]
     of = np.searchsorted(offsets, line, side="right") - 1
+    stop = np.minimum(np.append(cuts, total)[np.searchsorted(cuts, line)], offsets[of + 1])
+    worded = np.searchsorted(begin, line) < np.searchsorted(begin, stop)
+    line, stop, of = line[worded], stop[worded], of[worded]
     key = splitmix(span_hash(prefix, line, stop) + (stop - line).astype(U64)) ^ salt[of]
     _, at = np.unique(key, return_index=True)
     dup_lines = np.bincount(of, minlength=n_docs) - np.bincount(of[at], minlength=n_docs)
