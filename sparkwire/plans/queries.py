@@ -1,4 +1,327 @@
-"""Queries over the test tables, and the SQL each is held against."""
+"""Queries over the test tables, and the SQL each is held against. Binary results are given as hexadecimal text."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import wire, wkt
+from ..operators import encode as E
+from ..operators.decode import pb_decode, pb_merge, pb_merge_agg, wire_fields
+from ..schema import MessageSchema
+from . import tables as S
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def packed(df: DataFrame, m: MessageSchema, *extra: str) -> DataFrame:
+    """raw: each row as a message of m, whose fields are columns by name; extra columns stay."""
+    return df.select(*extra, E.pb_encode(F.struct(*[F.col(n) for n, _ in m.units()]), m).alias("raw"))
+
+
+def round_trip(df: DataFrame, m: MessageSchema, *extra: str) -> DataFrame:
+    got = pb_decode(packed(df, m, *extra), "raw", m, mode="FAILFAST")
+    return got.select(*extra, *[F.col(f"message.{n}").alias(n) for n, _ in m.units()])
+
+
+# SQL pieces. A varint's hexadecimal text in DuckDB, of a HUGEINT expression in 0 .. 2^64 - 1.
+def sql_varint(x: str) -> str:
+    parts = [f"CASE WHEN {i} = 0 OR ({x}) >= {1 << 7 * i} THEN printf('%02X', ((({x}) // {1 << 7 * i}) % 128 + CASE WHEN ({x}) >= {1 << 7 * (i + 1)} THEN 128 ELSE 0 END)::INT) ELSE '' END" for i in range(10)]
+    return "(" + " || ".join(parts) + ")"
+
+
+def sql_le(x: str, n: int) -> str:
+    return "(" + " || ".join(f"printf('%02X', (({x}) // {1 << 8 * i} % 256)::INT)" for i in range(n)) + ")"
+
+
+def sql_text(tag: int, x: str) -> str:
+    return f"(CASE WHEN {x} <> '' THEN '{wire.key_hex(tag, 2)}' || {sql_varint(f'octet_length(encode({x}))::HUGEINT')} || hex(encode({x})) ELSE '' END)"
+
+
+def sql_len(x: str) -> str:
+    return "(CASE " + " ".join(f"WHEN ({x}) < {1 << 7 * n} THEN {n}" for n in range(1, 10)) + " ELSE 10 END)"
+
+
+UNSIGNED = "(CASE WHEN {0} < 0 THEN {0}::HUGEINT + 18446744073709551616 ELSE {0}::HUGEINT END)"
+FLAT = "(l_orderkey * 1000003 * (CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END))"
+
+
+def spread() -> F.Column:
+    """Values of many widths, negative ones included."""
+    return F.col("l_orderkey") * 1000003 * F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)
+
+
+@query(f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {sql_varint(UNSIGNED.format(FLAT))} AS varint FROM lineitem")
+def varint_hex(spark, d):
+    return read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), wire.varint_hex(spread()).alias("varint"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {sql_len(UNSIGNED.format(FLAT))}::BIGINT AS n FROM lineitem")
+def varint_len(spark, d):
+    return read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), wire.varint_len(spread()).cast("bigint").alias("n"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {FLAT}::BIGINT AS v FROM lineitem")
+def varint_roundtrip(spark, d):
+    x = read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.unhex(wire.varint_hex(spread())).alias("raw"))
+    return x.select("l_orderkey", "l_linenumber", wire.varint_value(F.col("raw")).alias("v"))
+
+
+
+@query(f"SELECT c_custkey, CASE WHEN v >= 0 THEN 2 * v ELSE -2 * v - 1 END AS z32, (CASE WHEN w >= 0 THEN 2 * w ELSE -2 * w - 1 END)::BIGINT AS z64, w AS back FROM (SELECT c_custkey, floor(c_acctbal)::BIGINT AS v, floor(c_acctbal)::BIGINT * 1000000007 AS w FROM customer)")
+def zigzag(spark, d):
+    v = F.floor("c_acctbal").cast("bigint")
+    w = v * 1000000007
+    return read(spark, d, "customer").select("c_custkey", wire.zigzag(v.cast("int")).alias("z32"), wire.zigzag(w).alias("z64"), wire.unzigzag(wire.zigzag(w)).alias("back"))
+
+
+_BITS = "(SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE::BIT::VARCHAR AS b, l_discount::FLOAT::BIT::VARCHAR AS s FROM lineitem)"
+
+
+
+@query(f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {' || '.join(f'printf(chr(37) || chr(48) || chr(50) || chr(88), (list_sum([ (substr(b, {8 * i} + k, 1)::INT * (1 << (8 - k))) for k in range(1, 9)]))::INT)' for i in range(7, -1, -1))} AS dbl, {' || '.join(f'printf(chr(37) || chr(48) || chr(50) || chr(88), (list_sum([ (substr(s, {8 * i} + k, 1)::INT * (1 << (8 - k))) for k in range(1, 9)]))::INT)' for i in range(3, -1, -1))} AS flt FROM {_BITS}")
+def float_bits_hex(spark, d):
+    x = read(spark, d, "lineitem")
+    return x.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), wire.scalar_hex("double", F.col("l_extendedprice").cast("double")).alias("dbl"), wire.scalar_hex("float", F.col("l_discount").cast("float")).alias("flt"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {sql_le('l_partkey::HUGEINT', 4)} AS f32, {sql_le(UNSIGNED.format(FLAT), 8)} AS f64, {sql_le('(4294967296 - l_partkey)::HUGEINT', 4)} AS s32 FROM lineitem")
+def fixed_hex(spark, d):
+    x = read(spark, d, "lineitem")
+    return x.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), wire.scalar_hex("fixed32", F.col("l_partkey")).alias("f32"), wire.scalar_hex("sfixed64", spread()).alias("f64"), wire.scalar_hex("sfixed32", -F.col("l_partkey")).alias("s32"))
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (CASE WHEN v < 0 THEN v::HUGEINT + 18446744073709551616 ELSE v END)::VARCHAR AS u, ((v % 4294967296 + 4294967296) % 4294967296)::BIGINT - CASE WHEN (v % 4294967296 + 4294967296) % 4294967296 >= 2147483648 THEN 4294967296 ELSE 0 END AS low FROM (SELECT l_orderkey, l_linenumber, " + FLAT + "::BIGINT AS v FROM lineitem)")
+def unsigned_and_truncated(spark, d):
+    x = read(spark, d, "lineitem")
+    return x.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), wire.unsigned(wire.wrapped(wire.unsigned(spread()))).cast("string").alias("u"), wire.truncate32(spread()).cast("bigint").alias("low"))
+
+
+@query(f"SELECT n_nationkey::BIGINT AS k, {sql_text(1, 'n_name')} AS field FROM nation")
+def string_field(spark, d):
+    m = MessageSchema("S", [S.Field("n_name", 1, "string")])
+    return packed(read(spark, d, "nation"), m, "n_nationkey").select(F.col("n_nationkey").cast("bigint").alias("k"), F.hex("raw").alias("field"))
+
+
+@query(f"SELECT (CASE WHEN r_regionkey <> 0 THEN '08' || {sql_varint('r_regionkey::HUGEINT')} ELSE '' END) || {sql_text(2, 'r_name')} AS raw FROM region")
+def region_encode(spark, d):
+    return packed(read(spark, d, "region"), S.REGION).select(F.hex("raw").alias("raw"))
+
+
+@query("SELECT c_custkey::BIGINT AS c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal::DOUBLE AS c_acctbal, c_mktsegment FROM customer")
+def customer_roundtrip(spark, d):
+    return round_trip(read(spark, d, "customer"), S.CUSTOMER).withColumn("c_nationkey", F.col("c_nationkey").cast("bigint"))
+
+
+@query("SELECT vec_id, len(embedding)::BIGINT AS n, round(list_sum([x::DOUBLE for x in embedding]), 6) AS total, label::BIGINT AS label FROM embeddings")
+def packed_embedding(spark, d):
+    x = round_trip(read(spark, d, "embeddings"), S.EMBEDDING)
+    return x.select("vec_id", F.size("embedding").cast("bigint").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double")), 6).alias("total"), F.col("label").cast("bigint").alias("label"))
+
+
+@query("SELECT vec_id, TRUE AS same, (len(embedding) * 5)::BIGINT AS unpacked_bytes FROM embeddings")
+def packed_vs_unpacked(spark, d):
+    x = read(spark, d, "embeddings")
+    both = x.select("vec_id", "embedding", E.pb_encode(F.struct("vec_id", "embedding", "label"), S.EMBEDDING_UNPACKED).alias("raw"), E.pb_encoded_len(F.struct(F.lit(0).cast("bigint").alias("vec_id"), "embedding", F.lit(0).alias("label")), S.EMBEDDING_UNPACKED).alias("unpacked_bytes"))
+    got = pb_decode(both, "raw", S.EMBEDDING, mode="FAILFAST")  # the declaration says packed, the bytes are not
+    return got.select("vec_id", (F.col("message.embedding") == F.col("embedding")).alias("same"), "unpacked_bytes")
+
+
+def orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their line items nested, one shuffle by order key on either side."""
+    names = [f.name for f in S.LINEITEM.fields]
+    items = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*[F.col(n) for n in ("l_linenumber", *[x for x in names if x != "l_linenumber"])]))).alias("items"))
+    items = items.withColumn("items", F.transform("items", lambda i: F.struct(*[i[n].alias(n) for n in names])))
+    o = read(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return o.select("o_orderkey", "o_custkey", F.coalesce(E.enum_number(F.col("o_orderstatus"), S.STATUS), F.lit(0)).alias("o_orderstatus"), F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderpriority", F.coalesce("items", F.array()).alias("items"))
+
+
+@query("SELECT o_orderstatus AS status, count(DISTINCT o_orderkey)::BIGINT AS n_orders, count(l_orderkey)::BIGINT AS n_items, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderstatus")
+def order_nested_revenue(spark, d):
+    """Only the fields that the sum needs are decoded."""
+    got = pb_decode(packed(orders(spark, d), S.ORDER), "raw", S.ORDER, mode="FAILFAST", fields=["o_orderkey", "o_orderstatus", "items"])
+    x = got.select(E.enum_name(F.col("message.o_orderstatus"), S.STATUS).alias("status"), F.size("message.items").alias("n"), F.aggregate("message.items", F.lit(0.0), lambda a, i: a + i["l_extendedprice"] * (1 - i["l_discount"])).alias("r")).where("n > 0")
+    return x.groupBy("status").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("n").alias("n_items"), F.round(F.sum("r"), 2).alias("revenue"))
+
+
+@query("SELECT l_orderkey AS key, l_partkey, l_linenumber::BIGINT AS l_linenumber, l_quantity::DOUBLE AS l_quantity, l_returnflag FROM lineitem")
+def group_roundtrip(spark, d):
+    x = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.struct(*[F.col(f.name) for f in S.LINEITEM.fields]).alias("item"))
+    got = pb_decode(packed(x, S.GROUPED), "raw", S.GROUPED, mode="FAILFAST")
+    return got.select("message.key", "message.item.l_partkey", F.col("message.item.l_linenumber").cast("bigint").alias("l_linenumber"), "message.item.l_quantity", "message.item.l_returnflag")
+
+
+@query("SELECT conv_id, count(*)::BIGINT AS n_turns, sum(length(text))::BIGINT AS chars, md5(string_agg(role, ',' ORDER BY turn)) AS roles FROM conversations GROUP BY conv_id")
+def conversation_repeated(spark, d):
+    turns = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    got = round_trip(turns, S.CONVERSATION)
+    return got.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.aggregate("turns", F.lit(0).cast("bigint"), lambda a, t: a + F.length(t["text"])).alias("chars"), F.md5(F.array_join(F.transform("turns", lambda t: t["role"]), ",")).alias("roles"))
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    x = read(spark, d, "events")
+    numeric = F.col("event_id") % 2 == 0
+    what = F.struct(F.when(numeric, F.coalesce(F.col("value").cast("double"), F.lit(0.0))).alias("value"), F.when(~numeric, F.col("event_type")).alias("event_type"))
+    props = F.coalesce(F.from_json("props", "map<string,bigint>"), F.create_map().cast("map<string,bigint>"))
+    return x.select("event_id", wkt.from_spark_timestamp(F.col("ts").cast("timestamp")).alias("ts"), "user_id", what.alias("what"), props.alias("props"))
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN coalesce(value, 0)::DOUBLE END AS value, CASE WHEN event_id % 2 <> 0 THEN event_type END AS event_type FROM events")
+def event_oneof(spark, d):
+    return round_trip(events(spark, d), S.EVENT).select("event_id", "user_id", "what.value", "what.event_type")
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, len(json_keys(props))::BIGINT AS n FROM events")
+def event_props_map(spark, d):
+    return round_trip(events(spark, d), S.EVENT).select("event_id", F.col("props")["k"].alias("k"), F.size("props").cast("bigint").alias("n"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' WHEN epoch_us(ts) % 1000 = 0 THEN printf('.%03d', (epoch_us(ts) % 1000000 // 1000)) ELSE printf('.%06d', epoch_us(ts) % 1000000) END || 'Z' AS text FROM events")
+def event_timestamp_fmt(spark, d):
+    return events(spark, d).select("event_id", wkt.timestamp_format(F.col("ts")).alias("text"))
+
+
+@query("SELECT event_id, (epoch_us(ts) // 1000000 - 3600 * ((event_id % 25) - 12) - 60 * CASE WHEN event_id % 25 >= 12 THEN 30 ELSE -30 END)::BIGINT AS seconds, ((event_id * 37) % 1000 * 1000000)::BIGINT AS nanos FROM events")
+def event_timestamp_parse(spark, d):
+    x = read(spark, d, "events")
+    h = F.col("event_id") % 25 - 12
+    zone = F.concat(F.when(h >= 0, "+").otherwise("-"), F.lpad(F.abs(h).cast("string"), 2, "0"), F.lit(":30"))
+    text = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit("."), F.lpad((F.col("event_id") * 37 % 1000).cast("string"), 3, "0"), zone)
+    t = x.select("event_id", wkt.timestamp_parse(text).alias("t"))
+    return t.select("event_id", "t.seconds", F.col("t.nanos").cast("bigint").alias("nanos"))
+
+
+_N = "((event_id * 1234567891) % 4000000007 - 2000000003)"
+
+
+@query(f"SELECT event_id, user_id - 500 + (n - ((n % 1000000000) + 1000000000) % 1000000000) // 1000000000 AS seconds, ((n % 1000000000) + 1000000000) % 1000000000 AS nanos FROM (SELECT event_id, user_id, {_N} AS n FROM events)")
+def timestamp_normalize(spark, d):
+    x = read(spark, d, "events").select("event_id", wkt._pair(F.col("user_id") - 500, F.col("event_id") * 1234567891 % 4000000007 - 2000000003).alias("t"))
+    t = x.select("event_id", wkt.timestamp_normalize(F.col("t")).alias("t"))
+    return t.select("event_id", "t.seconds", F.col("t.nanos").cast("bigint").alias("nanos"))
+
+
+@query(f"SELECT event_id, trunc(total::DOUBLE / 1000000000)::BIGINT AS seconds, (total - trunc(total::DOUBLE / 1000000000)::BIGINT * 1000000000)::BIGINT AS nanos, CASE WHEN total < 0 THEN '-' ELSE '' END || (abs(total) // 1000000000)::VARCHAR || CASE WHEN total % 1000000000 = 0 THEN '' WHEN total % 1000000 = 0 THEN printf('.%03d', abs(total) % 1000000000 // 1000000) WHEN total % 1000 = 0 THEN printf('.%06d', abs(total) % 1000000000 // 1000) ELSE printf('.%09d', abs(total) % 1000000000) END || 's' AS text FROM (SELECT event_id, (user_id - 500) * 1000000000 + {_N} AS total FROM events)")
+def duration_normalize(spark, d):
+    x = read(spark, d, "events").select("event_id", wkt._pair(F.col("user_id") - 500, F.col("event_id") * 1234567891 % 4000000007 - 2000000003).alias("t"))
+    t = x.select("event_id", wkt.duration_normalize(F.col("t")).alias("t"))
+    back = wkt.duration_parse(wkt.duration_format(F.col("t")))
+    return t.select("event_id", back["seconds"].alias("seconds"), back["nanos"].cast("bigint").alias("nanos"), wkt.duration_format(F.col("t")).alias("text"))
+
+
+@query("SELECT 'tables.Region' AS kind, r_regionkey::BIGINT AS k, r_name AS name FROM region UNION ALL SELECT 'tables.Nation', n_nationkey, n_name FROM nation")
+def any_pack_unpack(spark, d):
+    def boxed(name: str, m: MessageSchema) -> DataFrame:
+        return read(spark, d, name).select(wkt.any_pack(F.struct(*[F.col(f.name) for f in m.fields]), m).alias("box"))
+
+    mixed = boxed("region", S.REGION).union(boxed("nation", S.NATION))
+    out = []
+    for m, key, name in ((S.REGION, "r_regionkey", "r_name"), (S.NATION, "n_nationkey", "n_name")):
+        own = mixed.where(wkt.any_is(F.col("box"), m)).select(wkt.type_name(F.col("box.type_url")).alias("kind"), wkt.any_payload(F.col("box"), m).alias("raw"))
+        out.append(pb_decode(own, "raw", m, mode="FAILFAST").select("kind", F.col(f"message.{key}").cast("bigint").alias("k"), F.col(f"message.{name}").alias("name")))
+    return out[0].union(out[1])
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'F' WHEN 2 THEN 'O' WHEN 3 THEN 'P' END AS name, o_orderkey % 5 < 4 AS valid, (CASE WHEN o_orderkey % 5 < 4 THEN o_orderkey % 5 ELSE 0 END)::BIGINT AS got FROM orders")
+def enum_names(spark, d):
+    x = read(spark, d, "orders")
+    n = (F.col("o_orderkey") % 5).cast("int")
+    return x.select("o_orderkey", E.enum_name(n, S.STATUS).alias("name"), E.enum_is_valid(n, S.STATUS).alias("valid"), E.enum_get(n, S.STATUS).cast("bigint").alias("got"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN quality END::BIGINT AS quality, toxic::BIGINT AS toxic FROM labels")
+def presence_optional(spark, d):
+    x = read(spark, d, "labels").withColumn("quality", F.when(F.col("doc_id") % 3 != 0, F.col("quality")))
+    return round_trip(x, S.OPTIONAL).select("doc_id", F.col("quality").cast("bigint").alias("quality"), F.col("toxic").cast("bigint").alias("toxic"))
+
+
+@query("SELECT doc_id, NULLIF(quality, 0)::BIGINT AS wrapped, CASE WHEN quality = 0 THEN '' ELSE '08' || printf('%02X', quality) END AS raw FROM labels")
+def wrapper_nulls(spark, d):
+    m = wkt.wrapper("Int32Value")
+    v = F.when(F.col("quality") != 0, F.col("quality").cast("int"))
+    x = read(spark, d, "labels").select("doc_id", E.pb_encode(F.struct(v.alias("value")), m).alias("raw"))
+    got = pb_decode(x, "raw", m, mode="FAILFAST")
+    return got.select("doc_id", F.nullif(F.col("message.value"), F.lit(0)).cast("bigint").alias("wrapped"), F.hex("raw").alias("raw"))
+
+
+@query("SELECT c_custkey, c_name, (CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE 7 END)::BIGINT AS c_nationkey FROM customer")
+def merge_last_wins(spark, d):
+    a = F.struct("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    empty = MessageSchema("Patch", [S.Field("c_nationkey", 3, "int32", "optional")], "tables")
+    patch = F.struct(F.when(F.col("c_custkey") % 2 == 1, 7).alias("c_nationkey"))
+    x = read(spark, d, "customer").select(pb_merge(E.pb_encode(a, S.CUSTOMER), E.pb_encode(patch, empty)).alias("raw"))
+    return pb_decode(x, "raw", S.CUSTOMER, mode="FAILFAST").select("message.c_custkey", "message.c_name", F.col("message.c_nationkey").cast("bigint").alias("c_nationkey"))
+
+
+@query("SELECT o_custkey, max_by(o_totalprice, o_orderkey)::DOUBLE AS last_price, max(o_orderkey)::BIGINT AS last_order FROM orders GROUP BY o_custkey")
+def merge_aggregate(spark, d):
+    o = read(spark, d, "orders")
+    m = MessageSchema("Last", [S.Field("o_orderkey", 1, "int64", "optional"), S.Field("o_totalprice", 2, "double", "optional")], "tables")
+    x = o.select("o_custkey", "o_orderkey", E.pb_encode(F.struct("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice")), m).alias("raw"))
+    got = pb_decode(x.groupBy("o_custkey").agg(pb_merge_agg("raw", "o_orderkey").alias("raw")), "raw", m, mode="FAILFAST")
+    return got.select("o_custkey", F.col("message.o_totalprice").alias("last_price"), F.col("message.o_orderkey").alias("last_order"))
+
+
+@query("SELECT p_partkey, p_size::BIGINT AS p_size FROM part")
+def unknown_field_skip(spark, d):
+    got = pb_decode(packed(read(spark, d, "part"), S.WIDE), "raw", S.NARROW, mode="FAILFAST")
+    return got.select("message.p_partkey", F.col("message.p_size").cast("bigint").alias("p_size"))
+
+
+@query(f"SELECT sum((CASE WHEN n_nationkey <> 0 THEN 1 + {sql_len('n_nationkey')} ELSE 0 END) + (CASE WHEN n_name <> '' THEN 1 + {sql_len('octet_length(encode(n_name))')} + octet_length(encode(n_name)) ELSE 0 END) + (CASE WHEN n_regionkey <> 0 THEN 1 + {sql_len('n_regionkey')} ELSE 0 END))::BIGINT AS bytes FROM nation")
+def encoded_len_sum(spark, d):
+    return read(spark, d, "nation").select(E.pb_encoded_len(F.struct("n_nationkey", "n_name", "n_regionkey"), S.NATION).alias("n")).agg(F.sum("n").alias("bytes"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def delimited_messages(spark, d):
+    m = MessageSchema("Supplier", [S.Field("s_suppkey", 1, "int64"), S.Field("s_name", 2, "string")], "tables")
+    x = read(spark, d, "supplier").select(E.pb_encode_delimited(F.struct("s_suppkey", "s_name"), m).alias("raw"))
+    return pb_decode(x, "raw", m, mode="FAILFAST", delimited=True).select("message.s_suppkey", "message.s_name")
+
+
+@query("SELECT e.error, count(*)::BIGINT AS n FROM nation CROSS JOIN (VALUES ('buffer underflow'), ('invalid key value: 1125899906842623'), ('invalid tag value: 0'), ('invalid wire type value: 6'), ('Nation.n_nationkey: invalid varint'), ('Nation.n_name: invalid string value: data is not UTF-8 encoded'), ('Nation.n_nationkey: invalid wire type: LengthDelimited (expected Varint)'), ('unexpected end group tag')) e(error) GROUP BY e.error")
+def decode_errors(spark, d):
+    bad = ["4DFF", "FFFFFFFFFFFFFF01", "00", "36", "08FFFFFFFFFFFFFFFFFF", "12028080", "0A00", "4C"]
+    x = read(spark, d, "nation").select(F.explode(F.array(*[F.lit(b) for b in bad])).alias("h")).select(F.unhex("h").alias("raw"))
+    got = pb_decode(x, "raw", S.NATION)
+    return got.groupBy(F.regexp_replace("message_error", "^failed to decode Protobuf message: ", "").alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 1::BIGINT AS tag, 0::BIGINT AS wire, count(*) FILTER (n_nationkey <> 0)::BIGINT AS n FROM nation UNION ALL SELECT 2, 2, count(*) FROM nation UNION ALL SELECT 3, 0, count(*) FILTER (n_regionkey <> 0) FROM nation")
+def wire_field_counts(spark, d):
+    return wire_fields(packed(read(spark, d, "nation"), S.NATION), "raw").groupBy("tag", "wire").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS chars, md5(text) AS digest, lang FROM documents")
+def document_text_roundtrip(spark, d):
+    got = round_trip(read(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"), S.DOCUMENT)
+    return got.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"), "lang")
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, TRUE AS stable FROM lineitem")
+def roundtrip_stability(spark, d):
+    """encode, decode and encode again give the same bytes."""
+    x = packed(read(spark, d, "lineitem"), S.LINEITEM, "l_orderkey", "l_linenumber")
+    got = pb_decode(x, "raw", S.LINEITEM, mode="FAILFAST")
+    return got.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), (E.pb_encode(F.col("message"), S.LINEITEM) == F.col("raw")).alias("stable"))
+
+
+@query()
+def schema_rows(spark, d):
+    return S.TABLES.to_df(spark)
