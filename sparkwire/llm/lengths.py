@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import map_text
+from .common import map_text, stash
 
 #: Lengths that share a block of the two-level suffix sums.
 BLOCK = 1024
@@ -37,6 +37,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     documents; truncated_tokens, the sum of min(length, L); cdf, the share of documents of at most L tokens.
     Two levels: within blocks of BLOCK lengths, then over the blocks. An empty histogram gives no rows.
     """
+    hist = stash(hist, "lengths")  # two levels read it, the texts are encoded once
     own = hist.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("toks"), F.floor(F.col("length") / BLOCK).alias("block"))
     blocks = own.groupBy("block").agg(F.sum("n_docs").alias("b_docs"), F.sum("toks").alias("b_toks"))
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)

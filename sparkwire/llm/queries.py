@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, language, lengths, mixing, packing, repetition, sharding, simhash, suffix, toxicity
+from .common import stash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     domain = F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), (F.crc32(utf8("source")) % len(DOMAINS) + 1).cast("int"))
     rows = docs.select("doc_id", domain.alias("domain"), "lang", "source", mixing.count_words("text").alias("n_tokens"))
-    out, _ = mixing.mix(rows, ["domain", "lang", "source"], WEIGHTS, share=0.6, max_epochs=2, seed=13)
+    out, _ = mixing.mix(stash(rows, "words"), ["domain", "lang", "source"], WEIGHTS, share=0.6, max_epochs=2, seed=13)
     return out
 
 

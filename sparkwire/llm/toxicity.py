@@ -34,7 +34,10 @@ class Settings:
     dim: int = 8
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8
+    #: Passes over the sample, more if it is so small that fewer than `seen` texts would be looked at.
     epochs: int = 9
+    seen: int = 45_000
+    balance: float = 0.5
     batch: int = 48
     rate: float = 0.1
     decay: float = 1e-4
@@ -127,10 +130,12 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], settings:
     if n >= 50:
         held[order[:: s.calibrate_mod]] = True
     train = np.flatnonzero(~held)
+    weight = np.where(labels > 0, max(1.0, float((labels == 0).sum() / (labels > 0).sum())) ** s.balance, 1.0).astype(np.float32)
+    epochs = max(s.epochs, -(-s.seen // max(len(train), 1)))
     g_emb, g_conv = np.full((3, s.buckets), 1e-2, np.float32), np.full_like(m.conv, 1e-2)
     g_bias, g_out, g_ob = np.full_like(m.bias, 1e-2), np.full_like(m.out, 1e-2), 1e-2
-    for epoch in range(s.epochs):
-        rate = s.rate * (1 - 0.9 * epoch / s.epochs)
+    for epoch in range(min(epochs, 60)):
+        rate = s.rate * (1 - 0.9 * epoch / min(epochs, 60))
         mixed = rng.permutation(train)
         for k in range(0, len(mixed), s.batch):
             batch = mixed[k : k + s.batch]
@@ -148,7 +153,7 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], settings:
             active = pooled > 0
             act = np.where(active, pooled, 0)
             p = 1 / (1 + np.exp(-np.clip(act @ m.out + m.out_bias, -30, 30)))
-            err = (p - labels[batch]) / len(batch)
+            err = weight[batch] * (p - labels[batch]) / len(batch)
             d_out, d_ob = act.T @ err + s.decay * m.out, err.sum()
             d_pool = np.where(active, err[:, None] * m.out[None, :], 0).astype(np.float32)
             d_conv, rows, grads = np.zeros_like(m.conv), [], []
