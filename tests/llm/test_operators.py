@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkwire.llm import ann, language, lengths, mixing, packing, queries, repetition, sharding, simhash, suffix, tokens, toxicity
+from sparkwire.llm import ann, language, lengths, mixing, packing, queries, repetition, sharding, simhash, similar, suffix, tokens, toxicity
 from sparkwire.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -350,6 +350,45 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def brute_similar(rows, words=5, least=0.8):
+    """Ids that stay: the least of each group joined by the similarity of word shingles (null ids last)."""
+    sets = []
+    for _, t in rows:
+        w = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split()
+        sets.append(frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset())
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both >= least * (len(sets[a]) + len(sets[b]) - both) > 0:
+                x, y = group[a], group[b]
+                group = [y if g == x else g for g in group]
+    return {min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+
+
+def test_drop_similar_against_brute_force(spark, docs, empty):
+    got = similar.drop_similar(clash(docs, "node", "cells", "p")).select("doc_id").collect()
+    want = brute_similar([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert {r[0] for r in got} == want and len([r for r in got if r[0] is not None]) == len(want - {None})
+    assert similar.drop_similar(docs).columns == docs.columns and similar.drop_similar(empty).count() == 0
+
+
+def test_drop_similar_of_a_large_group(spark):
+    """Two families of more copies than SMALL, each copy with edits of its own, and unlike texts that share a third."""
+    rng = random.Random(8)
+    base, shared = [prose(300, rng).split() for _ in range(2)], prose(100, rng)
+    rows = []
+    for k in range(160):
+        w = list(base[k % 2])
+        for _ in range(3):
+            w[rng.randrange(300)] = f"edit{rng.random()}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, shared + " " + prose(200, rng)) for k in range(60)]
+    rows += [(2000 + k, "a b C") for k in range(40)] + [(3000, "A  b c"), (3001, "a b c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in similar.drop_similar(df).collect()} == brute_similar(rows) == {0, 1, *range(1000, 1060), 2000, 3001}
+
+
 # ---- 9
 
 
@@ -437,12 +476,12 @@ def test_pipeline(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     names, docs = d.columns, d
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        given = [(x["doc_id"], x["text"]) for x in docs.collect()] if k == 1 else []
         docs = corpus_pipeline.stash(stage(spark, docs, SF), "test")
         if k < 4:
             assert docs.columns == names
         if k == 1:
-            r = [(x["doc_id"], x["fp"] & (1 << 64) - 1) for x in simhash.fingerprints(docs).collect()]
-            assert all((a[1] ^ b[1]).bit_count() > 4 for i, a in enumerate(r) for b in r[:i])
+            assert {x["doc_id"] for x in docs.collect()} == brute_similar(given)
             before = {x["doc_id"]: x["text"] for x in docs.collect()}
         if k == 2:
             want = {i: w for i, w in zip(before, brute_removed([(t or "").encode() for t in before.values()]), strict=True)}
