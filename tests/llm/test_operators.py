@@ -389,6 +389,36 @@ def test_drop_similar_of_a_large_group(spark):
     assert {r["doc_id"] for r in similar.drop_similar(df).collect()} == brute_similar(rows) == {0, 1, *range(1000, 1060), 2000, 3001}
 
 
+def test_drop_similar_loses_no_single_link(spark):
+    """Pairs that share three of a cell's four hashes must still be told from pairs that share the cell."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(500):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+        rows.append((2 * k, " ".join(w)))
+        w[40], w[80] = "edited", "twice"
+        rows.append((2 * k + 1, " ".join(w)))
+    got = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {2 * k for k in range(500)}
+
+
+def test_pairs_across_finds_what_the_search_passed_over():
+    """Every candidate pair of unlike root in a large cell, against all pairs by the same bounds."""
+    rng = np.random.default_rng(3)
+    rows, most = 90, similar.CELLS // 2 + similar.EXTRA // 32
+    base = rng.integers(0, 1 << 63, (3, similar.WIDE + most), dtype=np.uint64)
+    f = base[rng.integers(0, 3, rows)]
+    f[:, similar.WIDE + most - 1] ^= rng.integers(0, 1 << 20, rows, dtype=np.uint64)
+    f[:, similar.WIDE] = base[0, similar.WIDE]  # the first cells are common to all
+    node, root = np.arange(rows) + 5, rng.integers(0, 6, rows)
+    n, zero = np.full(rows, 50), np.zeros(rows, np.int64)
+    a, b = similar.pairs_across(zero, zero, node, root, f, n, 0.8)
+    x, y = np.triu_indices(rows, 1)
+    k = similar._near(f, n, zero, x, y, 0.8)[0]
+    want = {(node[i], node[j]) for i, j in zip(x[k], y[k], strict=True) if root[i] != root[j]}
+    assert {(min(p), max(p)) for p in zip(a, b, strict=True)} == want and len(a) == len(want) > 100
+
+
 # ---- 9
 
 
