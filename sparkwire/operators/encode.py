@@ -125,3 +125,21 @@ def enum_get(x: Column, e: EnumSchema) -> Column:
 
 def enum_valid_only(xs: Column, e: EnumSchema) -> Column:
     return F.filter(xs, lambda x: enum_is_valid(x, e))
+
+
+def enum_map_get(m: Column, key: Column, e: EnumSchema) -> Column:
+    """The number at a key of a map of enums; null where the key is absent or the number unknown."""
+    x = F.try_element_at(m, key)
+    return F.when(enum_is_valid(x, e), x)
+
+
+def enum_map_put(m: Column, key: Column, number: Column) -> Column:
+    """The map with that key set, whatever the session's policy on repeated keys."""
+    return F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(key, number))
+
+
+def field_get(x: Column, f: Field) -> Column:
+    """Getter of an optional field: its default where it is absent, and for an enum where the number is unknown."""
+    if f.kind == "enum" and isinstance(f.of, EnumSchema):
+        return F.when(enum_is_valid(x, f.of), x).otherwise(F.lit(f.zero()))
+    return F.coalesce(x, F.lit(bytearray(f.zero()) if f.kind == "bytes" else f.zero()))

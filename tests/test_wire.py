@@ -294,3 +294,17 @@ def test_framed_files(spark, tmp_path):
     q = stream.select("message.v").writeStream.format("memory").queryName("framed").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("select count(*) from framed").first()[0] == 50
+
+
+def test_getters(spark):
+    e = EnumSchema("Colour", [("RED", 2), ("BLUE", 0)])
+    m = F.create_map(F.lit("a"), F.lit(0), F.lit("b"), F.lit(9))
+    more = E.enum_map_put(E.enum_map_put(m, F.lit("a"), F.lit(2)), F.lit("c"), F.lit(0))
+    none = F.lit(None)
+    row = spark.range(1).select(
+        E.enum_map_get(m, F.lit("a"), e).alias("known"), E.enum_map_get(m, F.lit("b"), e).alias("unknown"), E.enum_map_get(m, F.lit("z"), e).alias("absent"), more.alias("more"),
+        E.field_get(none.cast("int"), Field("n", 1, "int32", "optional", default=7)).alias("n"), E.field_get(F.lit(3), Field("n", 1, "int32", "optional", default=7)).alias("set"),
+        E.field_get(F.lit(9), Field("c", 2, "enum", "optional", of=e)).alias("colour"), E.field_get(none.cast("binary"), Field("b", 3, "bytes", "optional", default=b"x")).alias("raw"),
+    ).first()
+    assert (row["known"], row["unknown"], row["absent"], row["more"]) == (0, None, None, {"a": 2, "b": 9, "c": 0})
+    assert (row["n"], row["set"], row["colour"], bytes(row["raw"])) == (7, 3, 2, b"x")
