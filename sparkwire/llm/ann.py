@@ -106,7 +106,8 @@ def usable(col: str = "embedding") -> Column:
 
 @dataclass
 class Index:
-    rows: DataFrame  # vec_id, vec (float array), codes, norm
+    rows: DataFrame  # a row for each class of equal vectors: vec_id (the least), vec, k1 and k2 (128 bits of hash of vec), codes, norm
+    members: DataFrame | None  # k1, k2, vec_id, n (rows of that id in the class)
     books: Codebooks | None
     settings: Settings
     size: int
@@ -120,12 +121,15 @@ def matrix(col: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
 
 
 def build(vectors: DataFrame, settings: Settings = Settings(), id_col: str = "vec_id", vec_col: str = "embedding") -> Index:
-    """Encode every usable vector with an id; of vectors of several widths the most frequent width takes part."""
+    """Encode every usable vector with an id, equal ones (0.0 equals -0.0) once; of vectors of several widths the most frequent width takes part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("vec_id").isNotNull() & usable("vec"))
     widths = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not widths:
-        return Index(rows, None, settings, 0)
-    rows = rows.where(F.size("vec") == widths[0]["d"])
+        return Index(rows, None, None, settings, 0)
+    rows = rows.where(F.size("vec") == widths[0]["d"]).withColumn("vec", F.transform("vec", lambda x: F.when(x == 0, 0.0).otherwise(x)))
+    rows = rows.withColumns({"k1": F.xxhash64("vec"), "k2": F.xxhash64(F.lit(1), "vec")})
+    members = stash(rows.groupBy("k1", "k2", "vec_id").agg(F.count(F.lit(1)).alias("n")), "members")
+    rows = rows.groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.first("vec").alias("vec")).select("vec_id", "vec", "k1", "k2")
     taken = rows.orderBy(F.xxhash64("vec_id", F.lit(settings.seed)), "vec_id").limit(settings.sample).toArrow()
     books = fit(matrix(taken.column("vec"), np.float32), settings)
     shared = vectors.sparkSession.sparkContext.broadcast(books)  # books x words x width
@@ -135,17 +139,30 @@ def build(vectors: DataFrame, settings: Settings = Settings(), id_col: str = "ve
             if batch.num_rows:
                 codes = shared.value.encode(matrix(batch.column(1), np.float32), settings.beam)
                 norm = (shared.value.decode(codes) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm.astype(np.float32))], names=["vec_id", "vec", "codes", "norm"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm.astype(np.float32))], names=["vec_id", "vec", "k1", "k2", "codes", "norm"])
 
-    held = stash(rows.mapInArrow(encode, "vec_id long, vec array<double>, codes binary, norm float"), "index")
-    return Index(held, books, settings, int(widths[0]["n"]))
+    held = stash(rows.mapInArrow(encode, "vec_id long, vec array<double>, k1 long, k2 long, codes binary, norm float"), "index")
+    return Index(held, members, books, settings, held.count())
+
+
+def least_members(index: Index, k: int) -> DataFrame:
+    """(k1, k2, ids): of each class its k + 1 least ids, in order, each as often as it has rows (k at most).
+
+    Whichever id is a query's own, k others are left or all. Ids are dealt by hash first, so a large class is no single task's work."""
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(16))
+    rows = index.members.withColumn("part", part)
+    for keys in (["k1", "k2", "part"], ["k1", "k2"]):
+        rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("at") <= k + 1)
+    ids = F.array_sort(F.collect_list(F.struct("vec_id", "n")))
+    ids = F.flatten(F.transform(ids, lambda m: F.array_repeat(m["vec_id"], F.least(m["n"], F.lit(k)).cast("int"))))
+    return rows.groupBy("k1", "k2").agg(ids.alias("ids"))
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "query_id", vec_col: str = "vec") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows whose id is not its own; ties to the smaller id.
 
-    All rows are scored from their codes, block of rows by block of queries; the `rerank` best of each block are
-    measured exactly, in double precision. Of queries that share an id the least vector counts. Fewer rows than k:
+    All classes of equal vectors are scored from their codes, block of classes by block of queries; the `rerank` best of
+    each block are measured exactly, in double precision, and stand for the least ids of their rows. Of queries that share an id the least vector counts. Fewer rows than k:
     all are returned.
     """
     spark = queries.sparkSession
@@ -163,7 +180,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "query_i
         return df.withColumn(own, F.pmod(F.xxhash64(col, F.lit(3)), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
     left = deal(asked, "query_id", "qb", q_groups, "g", groups)
-    right = deal(index.rows, "vec_id", "g", groups, "qb", q_groups)
+    right = deal(index.rows.join(least_members(index, k), ["k1", "k2"]).drop("k1", "k2"), "vec_id", "g", groups, "qb", q_groups)
 
     def score(q_rows: pa.Table, rows: pa.Table) -> pa.Table:
         got: list[list] = [[], [], []]
@@ -171,21 +188,32 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "query_i
             words = books.value.words
             q = matrix(q_rows.column("q"), np.float64)
             x = matrix(rows.column("vec"), np.float64)
-            ids = rows.column("vec_id").to_numpy()
-            codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).T.copy()
+            ids = rows.column("ids").combine_chunks()
+            at = np.append(0, np.cumsum(ids.value_lengths().to_numpy()))
+            ids = ids.flatten().to_numpy()
+            alone = ids[at[:-1]] == ids[at[1:] - 1]  # classes of a single id
+            codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(x), -1).T.copy()
             norm = rows.column("norm").to_numpy()
             for i, name in enumerate(q_rows.column("query_id").to_pylist()):
                 table = -2 * (words @ q[i].astype(np.float32))
                 near = norm.copy()
                 for b in range(len(words)):
                     near += table[b][codes[b]]
-                near[ids == name] = np.inf
+                own = alone & (ids[at[:-1]] == name)
+                near[own] = np.inf
                 top = np.argpartition(near, s.rerank)[: s.rerank] if len(near) > s.rerank else np.arange(len(near))
-                top = top[ids[top] != name]
+                top = top[~own[top]]
                 exact = np.sqrt(((x[top] - q[i]) ** 2).sum(1))
-                o = np.lexsort((ids[top], exact))[:k]
+                if len(top) > k:  # each class left has an id besides the query's own: the k nearest and their equals suffice
+                    near_k = exact <= np.partition(exact, k - 1)[k - 1]
+                    top, exact = top[near_k], exact[near_k]
+                found_ids = np.concatenate([ids[at[c] : at[c + 1]] for c in top]) if len(top) else ids[:0]
+                exact = np.repeat(exact, at[top + 1] - at[top])
+                other = found_ids != name
+                found_ids, exact = found_ids[other], exact[other]
+                o = np.lexsort((found_ids, exact))[:k]
                 got[0].append(np.full(len(o), name))
-                got[1].append(ids[top][o])
+                got[1].append(found_ids[o])
                 got[2].append(exact[o])
         cols = [np.concatenate(c) if c else np.zeros(0) for c in got]
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})

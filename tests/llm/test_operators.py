@@ -499,6 +499,28 @@ def test_neighbours_odd_rows(spark):
     assert ann.search(ann.build(df.limit(0)), q).count() == 0
 
 
+def test_neighbours_of_many_equal_vectors(spark):
+    """More copies in a block than are measured exactly: ties still go to the smallest ids."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(9000, 8)).astype(np.float32)
+    x[rng.permutation(9000)[:5000]] = x[0]
+    x[:, 0] = np.where(x[:, 0] == x[0, 0], rng.choice([0.0, -0.0], 9000), x[:, 0])
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    rows += [rows[int(k)] for k in np.flatnonzero((x[:, 1] == x[0, 1]) & (np.arange(9000) < 30))]  # repeated rows
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    asked = np.r_[np.flatnonzero(x[:9000, 1] == x[0, 1])[[0, 1, 7, 60, 4000]], np.flatnonzero(x[:9000, 1] != x[0, 1])[:5]]
+    x = np.concatenate([x, x[asked] + 0.001])  # queries beside the group have ids of their own
+    names = np.r_[asked, 20_000 + np.arange(10)]
+    q = np.concatenate([x[asked], x[-10:]])
+    got = {}
+    for r in ann.search(ann.build(df), spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(names, q, strict=True)], "query_id long, vec array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = ann.brute_force(x[: len(ids)], ids, q, names)
+    group = [int(n) for k, n in enumerate(names) if k % 10 < 5]
+    assert {n: got[n] for n in group} == {n: want[n] for n in group}
+    assert sum(len(set(got[int(n)]) & set(want[int(n)])) / len(set(want[int(n)])) for n in names) / len(names) >= 0.9
+
 # ---- pipeline
 
 
