@@ -402,6 +402,18 @@ def test_drop_similar_loses_no_single_link(spark):
     assert {r["doc_id"] for r in got} == {2 * k for k in range(500)}
 
 
+def test_drop_similar_loses_no_short_link(spark):
+    """Pairs of exactly 0.8 and few shingles: 4 of 5 and 12 of 15, by words added at the end."""
+    rng = random.Random(33)
+    rows = []
+    for k in range(1600):
+        w = [f"w{rng.randrange(10**9)}" for _ in range([8, 16][k % 2])]
+        rows.append((2 * k, " ".join(w)))
+        rows.append((2 * k + 1, " ".join([*w, "more", "words", "here"][: [9, 19][k % 2]])))
+    got = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {2 * k for k in range(1600)}
+
+
 def test_pairs_across_finds_what_the_search_passed_over():
     """Every candidate pair of unlike root in a large cell, against all pairs by the same bounds."""
     rng = np.random.default_rng(3)
