@@ -104,9 +104,10 @@ def words(texts: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray, int]:
     return ids, np.searchsorted(offsets, begin, side="right") - 1, len(offsets) - 1
 
 
-def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], settings: Settings = Settings()) -> Model:
+def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], settings: Settings = Settings(), stands: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Adagrad on logistic loss; max pooling sends the gradient to one window a filter. Then Platt scaling and one
-    threshold for each language on the held-back fifth. With one class or no rows the score is constant."""
+    threshold for each language on the held-back fifth, where a clean and a toxic row count as the labelled rows they
+    stand for (`stands`), so that a score means the same whatever the sample's mix. With one class or no rows the score is constant."""
     s, rng = settings, np.random.default_rng(settings.seed)
     slots, nf = sum(s.widths) * s.filters, len(s.widths) * s.filters
     emb = rng.normal(0, 0.05, (3, s.buckets, s.dim)).astype(np.float32)
@@ -190,56 +191,62 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], settings:
     for k in range(0, n, RUN):
         e = min(k + RUN, n)
         logit[k:e] = m.logits(ids[:, at[k] : at[e]], np.repeat(np.arange(e - k), np.diff(at[k : e + 1])), e - k)
-    calibrate(m, logit, labels, np.array([x or "" for x in langs], object), held if held.any() else np.ones(n, bool))
+    calibrate(m, logit, labels, np.array([x or "" for x in langs], object), held if held.any() else np.ones(n, bool), stands)
     return m
 
 
-def calibrate(m: Model, logit: np.ndarray, label: np.ndarray, langs: np.ndarray, rows: np.ndarray) -> None:
-    """Platt scaling by Newton steps with smoothed targets, then thresholds."""
+def calibrate(m: Model, logit: np.ndarray, label: np.ndarray, langs: np.ndarray, rows: np.ndarray, stands: tuple[float, float] = (1.0, 1.0)) -> None:
+    """Platt scaling by Newton steps with smoothed targets, then thresholds; rows weigh what their class `stands` for."""
     x, y = logit[rows].astype(float), label[rows].astype(float)
     pos, neg = y.sum(), (1 - y).sum()
+    mass = np.where(y > 0, stands[1], stands[0])
+    mass = mass / mass.mean()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w, e = p * (1 - p) + 1e-6, p - t
+        w, e = mass * (p * (1 - p) + 1e-6), mass * (p - t)
         h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
         step = np.linalg.solve(h, np.array([(e * x).sum() + 1e-3 * (a - 1), e.sum()]))
         a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -1, 1))
     m.scale, m.shift = max(a, 1e-3), b
     p = 1 / (1 + np.exp(-np.clip(m.scale * x + m.shift, -40, 40)))
-    m.threshold = best_threshold(p, y)
+    m.threshold = best_threshold(p, y, mass)
     own = langs[rows]
     for lang in sorted(set(own)):
         k = own == lang
         if min(y[k].sum(), (1 - y[k]).sum()) >= m.settings.least_per_class:
-            m.by_lang[lang] = best_threshold(p[k], y[k])
+            m.by_lang[lang] = best_threshold(p[k], y[k], mass[k])
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+def best_threshold(p: np.ndarray, y: np.ndarray, mass: np.ndarray) -> float:
     """Middle of the gap that gives the best F1 (false alarms count twice), between 0.3 and 0.9."""
     o = np.argsort(-p, kind="stable")
-    p, y = p[o], y[o]
-    tp, fp = np.cumsum(y), np.cumsum(1 - y)
-    f = 2 * tp / (tp + 2 * fp + y.sum())
+    p, y, mass = p[o], y[o], mass[o]
+    tp, fp = np.cumsum(y * mass), np.cumsum((1 - y) * mass)
+    f = 2 * tp / (tp + 2 * fp + (y * mass).sum())
     f[:-1][p[:-1] == p[1:]] = -1
     k = int(np.argmax(f))
     return float(np.clip((p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2, 0.3, 0.9))
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings) -> tuple[list[str], np.ndarray, list[str | None]]:
-    """Labelled texts in the order of a hash of their id, at most max_docs; `learn` says which ids may be learned from."""
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings) -> tuple[list[str], np.ndarray, list[str | None], tuple[float, float]]:
+    """Labelled texts in the order of a hash of their id, at most max_docs; `learn` says which ids may be learned from. Last:
+    how many labelled rows a clean and a toxic row of the sample stand for."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(learn)
     half = settings.max_docs // 2
     picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for k in (1, 0)]
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    stands = max(1.0, counts.get(0, 0) / half), max(1.0, counts.get(1, 0) / half)
     ids = picked[0].union(picked[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     d = docs.select("doc_id", "text", F.col("lang").alias("lang_")).where(F.octet_length("text") <= settings.max_bytes)
     rows = d.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(settings.max_docs).collect()
-    return [r["text"] for r in rows], np.array([r["toxic"] for r in rows]), [r["lang_"] for r in rows]
+    return [r["text"] for r in rows], np.array([r["toxic"] for r in rows]), [r["lang_"] for r in rows], stands
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, settings: Settings = Settings()) -> Model:
-    return fit(*sample(docs, labels, F.lit(True) if learn is None else learn, settings), settings)
+    *rows, stands = sample(docs, labels, F.lit(True) if learn is None else learn, settings)
+    return fit(*rows, settings, stands)
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang", carry: list[str] | None = None) -> DataFrame:

@@ -67,6 +67,18 @@ def test_toxicity_learns_and_calibrates(spark):
     assert none.score(queries.ann.pa.array(["a", None]))[0] == 0.5
 
 
+def test_toxicity_scores_do_not_depend_on_the_sample(spark):
+    """One toxic text in ten, known by a word of which a tenth of the clean have one too: a sample of as many of each keeps the share."""
+    rng = random.Random(6)
+    y = [k % 10 == 0 for k in range(3000)]
+    rows = [(k, prose(8, rng) + (" wretch" if rng.random() < (0.8 if t else 0.1) else "") + " " + prose(8, rng), "en") for k, t in enumerate(y)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(t)) for k, t in enumerate(y)], "doc_id long, toxic int")
+    for most in (600, 3000):
+        m = toxicity.train(df, labels, settings=toxicity.Settings(max_docs=most, epochs=6, buckets=1 << 12))
+        assert 0.05 < m.score(queries.ann.pa.array([r[1] for r in rows])).mean() < 0.2
+
+
 def test_op1_held_out(spark):
     got = {r["doc_id"]: r for r in queries.op1_toxicity(spark, "/root/testdata/sf0.1").collect()}
     labels = duckdb.sql("select doc_id, toxic from '/root/testdata/sf0.1/labels.parquet'").fetchall()
