@@ -29,8 +29,47 @@ def wrapper(name: str) -> MessageSchema:
     return MessageSchema(name, [Field("value", 1, WRAPPERS[name])], PACKAGE, "type.googleapis.com")
 
 
+FIELD_KINDS = ["TYPE_UNKNOWN", "TYPE_DOUBLE", "TYPE_FLOAT", "TYPE_INT64", "TYPE_UINT64", "TYPE_INT32", "TYPE_FIXED64", "TYPE_FIXED32", "TYPE_BOOL", "TYPE_STRING", "TYPE_GROUP", "TYPE_MESSAGE", "TYPE_BYTES", "TYPE_UINT32", "TYPE_ENUM", "TYPE_SFIXED32", "TYPE_SFIXED64", "TYPE_SINT32", "TYPE_SINT64"]
+CARDINALITIES = ["CARDINALITY_UNKNOWN", "CARDINALITY_OPTIONAL", "CARDINALITY_REQUIRED", "CARDINALITY_REPEATED"]
+
+
+def _add_types(r: Registry) -> None:
+    """The messages of type.proto and api.proto."""
+    from ..schema import EnumSchema
+
+    def enum(name: str, values: list[str]) -> EnumSchema:
+        e = r.enums[f"{PACKAGE}.{name}"] = EnumSchema(name.split(".")[-1], [(v, k) for k, v in enumerate(values)])
+        return e
+
+    def message(name: str, tag: int, of: str, label: str = "plain") -> Field:
+        return Field(name, tag, "message", label, of=f"{PACKAGE}.{of}")
+
+    def text(name: str, tag: int, label: str = "plain") -> Field:
+        return Field(name, tag, "string", label)
+
+    syntax, kind, cardinality = enum("Syntax", ["SYNTAX_PROTO2", "SYNTAX_PROTO3"]), enum("Field.Kind", FIELD_KINDS), enum("Field.Cardinality", CARDINALITIES)
+    messages = {
+        "Type": [text("name", 1), message("fields", 2, "Field", "repeated"), text("oneofs", 3, "repeated"), message("options", 4, "Option", "repeated"), message("source_context", 5, "SourceContext"), Field("syntax", 6, "enum", of=syntax)],
+        "Field": [
+            Field("kind", 1, "enum", of=kind), Field("cardinality", 2, "enum", of=cardinality), Field("number", 3, "int32"), text("name", 4), text("type_url", 6), Field("oneof_index", 7, "int32"),
+            Field("packed", 8, "bool"), message("options", 9, "Option", "repeated"), text("json_name", 10), text("default_value", 11),
+        ],
+        "Enum": [text("name", 1), message("enumvalue", 2, "EnumValue", "repeated"), message("options", 3, "Option", "repeated"), message("source_context", 4, "SourceContext"), Field("syntax", 5, "enum", of=syntax)],
+        "EnumValue": [text("name", 1), Field("number", 2, "int32"), message("options", 3, "Option", "repeated")],
+        "Option": [text("name", 1), message("value", 2, "Any")],
+        "Api": [
+            text("name", 1), message("methods", 2, "Method", "repeated"), message("options", 3, "Option", "repeated"), text("version", 4), message("source_context", 5, "SourceContext"),
+            message("mixins", 6, "Mixin", "repeated"), Field("syntax", 7, "enum", of=syntax),
+        ],
+        "Method": [text("name", 1), text("request_type_url", 2), Field("request_streaming", 3, "bool"), text("response_type_url", 4), Field("response_streaming", 5, "bool"), message("options", 6, "Option", "repeated"), Field("syntax", 7, "enum", of=syntax)],
+        "Mixin": [text("name", 1), text("root", 2)],
+    }
+    for name, fields in messages.items():
+        r.add(MessageSchema(name, fields, PACKAGE, "type.googleapis.com", r))
+
+
 def registry() -> Registry:
-    """The well-known messages, with Struct, Value and ListValue (recursive)."""
+    """The well-known messages, with Struct, Value and ListValue (recursive) and those of type.proto and api.proto."""
     from ..schema import EnumSchema
 
     r = Registry()
@@ -44,6 +83,7 @@ def registry() -> Registry:
         f.oneof = "kind"
     r.add(MessageSchema("Value", kinds, PACKAGE, "type.googleapis.com", r))
     r.add(MessageSchema("ListValue", [Field("values", 1, "message", "repeated", of=value)], PACKAGE, "type.googleapis.com", r))
+    _add_types(r)
     return r
 
 

@@ -308,3 +308,17 @@ def test_getters(spark):
     ).first()
     assert (row["known"], row["unknown"], row["absent"], row["more"]) == (0, None, None, {"a": 2, "b": 9, "c": 0})
     assert (row["n"], row["set"], row["colour"], bytes(row["raw"])) == (7, 3, 2, b"x")
+
+
+def test_messages_of_type_and_api(spark):
+    text = 'syntax = "proto3"; import "google/protobuf/api.proto"; import "google/protobuf/type.proto"; message Bar { google.protobuf.Api api = 1; google.protobuf.Type type = 2; google.protobuf.Enum e = 3; }'
+    bar = compile_protos({"bar.proto": text}).messages["Bar"]
+    method, mixin = b"\x0a\x01m\x18\x01\x38\x01", b"\x0a\x01x\x12\x01r"
+    api = b"\x0a\x01A\x12" + bytes([len(method)]) + method + b"\x22\x021v\x32" + bytes([len(mixin)]) + mixin + b"\x38\x01"
+    field = b"\x08\x09\x10\x03\x18\x05\x22\x01f\x52\x01j"
+    kind = b"\x0a\x01T\x12" + bytes([len(field)]) + field + b"\x1a\x01o\x30\x01"
+    value = b"\x0a\x01E\x12\x05\x0a\x01v\x10\x07"
+    raw = b"".join(bytes([t]) + bytes([len(x)]) + x for t, x in ((0x0A, api), (0x12, kind), (0x1A, value)))
+    df = spark.createDataFrame([(bytearray(raw),)], "b binary")
+    got = pb_decode(df, "b", bar, out="x")
+    assert bytes(got.select(E.pb_encode(F.col("x"), bar)).first()[0]) == raw
