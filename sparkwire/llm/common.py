@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 U64 = np.uint64
-#: Odd base of the polynomial hash modulo 2^64, and its inverse.
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 1 << 64)
+#: Modulus of the polynomial hash, a Mersenne prime (no text has a structure that makes it collide, as texts have modulo 2^64), its base and that one's inverse.
+PRIME = (1 << 61) - 1
+BASE = 0x1E3779B97F4A7C15 % PRIME
+BASE_INV = pow(BASE, -1, PRIME)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine) a new local folder."""
+    """The folder of spark.checkpoint.dir; where it is unset on one machine (master local) a new local folder, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sparkwire-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -41,6 +44,19 @@ def columns_by_position(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.toDF(*[f"c{i}" for i in range(len(names))]), names
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` with columns c0, c1, ... for its own, whatever their names, and id_, text, key1_ and key2_ (hashes of both)."""
+    flat, names = columns_by_position(docs)
+    i, t = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
+    return flat.withColumns({"id_": i, "text": t, "key1_": F.xxhash64(i, t), "key2_": F.xxhash64(F.lit(1), t, i)})
+
+
+def keep_keys(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """Of keyed() rows those whose keys are among `keys`, one for each, under their own names."""
+    one = rows.dropDuplicates(["key1_", "key2_"]).join(keys, ["key1_", "key2_"])
+    return one.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def byte_slices(batch: pa.RecordBatch, text_at: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about max_bytes of text; a longer text is a run of its own."""
     n = batch.num_rows
@@ -120,10 +136,24 @@ def limit_batches(spark: SparkSession) -> None:
 # ---------------------------------------------------------------- hashing
 
 _powers: dict[str, np.ndarray] = {}
+_P, _M31, _M30, _M29 = U64(PRIME), U64((1 << 31) - 1), U64((1 << 30) - 1), U64((1 << 29) - 1)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit values modulo PRIME."""
+    x = (x & _P) + (x >> U64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of values below it, from 31-bit halves."""
+    a1, a0, b1, b0 = a >> U64(31), a & _M31, b >> U64(31), b & _M31
+    mid = a0 * b1 + a1 * b0
+    return _fold(((a1 * b1) << U64(1)) + (mid >> U64(30)) + ((mid & _M30) << U64(31)) + a0 * b0)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2^64 for i < n (kept, and grown by need)."""
+    """BASE**i and BASE**-i modulo PRIME for i < n (kept, and grown by need)."""
     have = _powers.get("up")
     if have is None or len(have) < n:
         size = 1 << max(16, (n - 1).bit_length())
@@ -132,7 +162,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             out[0] = 1
             done = 1
             while done < size:
-                out[done : 2 * done] = out[:done] * U64(pow(base, done, 1 << 64))
+                out[done : 2 * done] = times(out[:done], U64(pow(base, done, PRIME)))
                 done *= 2
             _powers[key] = out
     return _powers["up"], _powers["down"]
@@ -145,22 +175,36 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-#: A fixed random 64-bit value for each byte.
-BYTE_VALUES = splitmix((np.arange(256, dtype=U64) + U64(1)) * U64(BASE))
+#: A fixed random value below 2^30 for each byte.
+BYTE_VALUES = splitmix((np.arange(256, dtype=U64) + U64(1)) * U64(BASE)) >> U64(34)
+_RUN = 1 << 15
 
 
 def prefix_hash(symbols: np.ndarray) -> np.ndarray:
-    """Running polynomial hash of 64-bit symbols, one longer than they are; see span_hash."""
-    up, _ = powers(len(symbols) + 1)
-    out = np.zeros(len(symbols) + 1, U64)
-    np.cumsum(symbols * up[: len(symbols)], out=out[1:])
+    """Running polynomial hash modulo PRIME, one longer than the symbols; see span_hash. Bytes stand for their BYTE_VALUES, 64-bit
+    symbols for themselves. Values may exceed PRIME by a little."""
+    n, short = len(symbols), symbols.dtype == np.uint8
+    up, _ = powers(n + 1)
+    out = np.zeros(n + 1, U64)
+    for k in range(0, n, _RUN):
+        x, y = symbols[k : k + _RUN], up[k : min(k + _RUN, n)]
+        if short:
+            x = BYTE_VALUES[x]
+            m = x * (y >> U64(31))
+            x = (m >> U64(30)) + ((m & _M30) << U64(31)) + x * (y & _M31)
+        else:
+            x = times(_fold(x), y)
+        low, high = np.cumsum(x & U64(0xFFFFFFFF)), np.cumsum(x >> U64(32))
+        # a sum of high halves, below 2^47, times 2^32: its bits from 29 on come back as ones
+        high = ((high & _M29) << U64(32)) + (high >> U64(29)) + low + out[k]
+        out[k + 1 : k + 1 + len(x)] = (high & _P) + (high >> U64(61))
     return out
 
 
 def span_hash(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A position-free hash of each span [begin, end)."""
+    """A position-free hash, below PRIME, of each span [begin, end)."""
     _, down = powers(len(prefix))
-    return (prefix[end] - prefix[begin]) * down[begin]
+    return times(_fold(prefix[end] + (U64(2 * PRIME) - prefix[begin])), down[begin])
 
 
 SPACE = np.zeros(256, bool)

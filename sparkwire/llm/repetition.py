@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import BYTE_VALUES, SPACE, U64, map_text, prefix_hash, runs, span_hash, splitmix, text_buffer
+from .common import SPACE, U64, map_text, prefix_hash, runs, span_hash, splitmix, text_buffer
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -110,7 +110,7 @@ def measure(texts: pa.Array, limits: Limits) -> list[np.ndarray]:
     data, offsets = text_buffer(texts)
     n_docs, total = len(offsets) - 1, len(data)
     begin, end = runs(~SPACE[data], offsets)
-    prefix = prefix_hash(BYTE_VALUES[data])
+    prefix = prefix_hash(data)
     doc = np.searchsorted(offsets, begin, side="right") - 1
     salt = splitmix(np.arange(n_docs, dtype=U64) + U64(1))
     sa, lcp = suffix_lcp(splitmix(span_hash(prefix, begin, end)) ^ salt[doc])
@@ -166,6 +166,6 @@ def spans(text: str | None, least: int) -> list[tuple[int, int]]:
     """Byte spans of one text's united repeats of `least` words or more, first word's begin to last word's end."""
     data, offsets = text_buffer(pa.array([text or ""]))
     begin, end = runs(~SPACE[data], offsets)
-    length = longest_at(*suffix_lcp(splitmix(span_hash(prefix_hash(BYTE_VALUES[data]), begin, end))))
+    length = longest_at(*suffix_lcp(splitmix(span_hash(prefix_hash(data), begin, end))))
     a, b = runs(union(length, least), np.zeros(1, np.int64))
     return [(int(begin[i]), int(end[j - 1])) for i, j in zip(a, b, strict=True)]

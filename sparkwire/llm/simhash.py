@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, map_text, stash
+from .common import U64, keep_keys, keyed, map_text, stash
 from .components import components
 
 EVEN = U64(0x5555555555555555)
@@ -202,12 +202,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """The rows of `docs` without near copies: of each component the row of the least id stays (a null id comes last;
     of rows that share id and text, one). Columns stay as they are."""
-    names = docs.columns
-    one, two = F.xxhash64(id_col, text_col), F.xxhash64(F.lit(1), text_col, id_col)
-    slim = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text"), one.alias("key1_"), two.alias("key2_"))
+    rows = keyed(docs, id_col, text_col)
+    slim = rows.select("id_", "text", "key1_", "key2_")
     prints = stash(fingerprints(slim, "text", words, carry=["id_", "key1_", "key2_"]), "fp")
     place = F.struct(F.col("id_").isNull().alias("z"), F.col("id_").alias("id"), F.col("key1_").alias("k1"), F.col("key2_").alias("k2"))
     least = prints.groupBy("fp").agg(F.min(place).alias("p"))
     kept = _classes(prints).join(least, F.col("fp") == F.col("fp_")).groupBy("root").agg(F.min("p").alias("p"))
     kept = stash(kept.select(F.col("p.k1").alias("key1_"), F.col("p.k2").alias("key2_")).distinct(), "keep")
-    return docs.withColumns({"key1_": one, "key2_": two}).join(kept, ["key1_", "key2_"]).dropDuplicates(["key1_", "key2_"]).select(*names)
+    return keep_keys(rows, kept, docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_VALUES, U64, byte_slices, limit_batches, prefix_hash, shared_dir, span_hash, splitmix, stash, text_buffer
+from .common import U64, byte_slices, limit_batches, prefix_hash, shared_dir, span_hash, splitmix, stash, text_buffer
 
 GRAM = 40
 #: Place bits in the sort key of a gram; a run of bytes in one pass is shorter.
@@ -37,7 +37,7 @@ def anchors(data: np.ndarray, first: np.ndarray, last: np.ndarray, s_from: np.nd
     if n < length or not len(live):
         z = np.zeros(0, np.int64)
         return {"text": z, "h": z.astype(U64), "c": z.astype(U64), "a": z, "lo": z, "hi": z}
-    prefix = prefix_hash(BYTE_VALUES[data])
+    prefix = prefix_hash(data)
     at = np.arange(n - gram + 1)
     h = splitmix(span_hash(prefix, at, at + gram))
     mask = U64((1 << PLACE) - 1)

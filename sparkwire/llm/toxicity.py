@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_VALUES, U64, map_text, prefix_hash, runs, span_hash, splitmix, text_buffer
+from .common import U64, map_text, prefix_hash, runs, span_hash, splitmix, text_buffer
 
 #: Bytes of words: lower-cased letters, digits and all bytes of non-ASCII characters; 0 parts words.
 LETTERS = np.zeros(256, np.uint8)
@@ -96,7 +96,7 @@ def words(texts: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray, int]:
     raw, offsets = text_buffer(texts)
     data = LETTERS[raw]
     begin, end = runs(data > 0, offsets)
-    prefix = prefix_hash(BYTE_VALUES[data])
+    prefix = prefix_hash(data)
     h = splitmix(span_hash(prefix, begin, end))
     head = splitmix(span_hash(prefix, begin, np.minimum(end, begin + PREFIX)))
     mask = U64(s.buckets - 1)

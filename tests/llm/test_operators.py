@@ -426,21 +426,94 @@ def test_drop_similar_loses_no_short_link(spark):
     assert {r["doc_id"] for r in got} == {2 * k for k in range(1600)}
 
 
-def test_pairs_across_finds_what_the_search_passed_over():
-    """Every candidate pair of unlike root in a large cell, against all pairs by the same bounds."""
+def brute_roots(nodes, f, n, root, share):
+    """Roots joined by all candidate pairs of one cell, by the same bounds."""
+    joined = {int(r): int(r) for r in root}
+    x, y = np.triu_indices(len(nodes), 1)
+    k = similar._near(f[x], f[y], n[x], n[y], np.zeros(len(x), np.int64), share)[0]
+    for i, j in zip(x[k], y[k], strict=True):
+        a, b = joined[int(root[i])], joined[int(root[j])]
+        joined = {r: min(a, b) if g in (a, b) else g for r, g in joined.items()}
+    return joined
+
+
+def test_links_outside_find_what_leaders_passed_over(spark, monkeypatch):
+    """One large cell, many roots: links of roots against all pairs by the same bounds (sets here say yes to each), in one block and in many."""
     rng = np.random.default_rng(3)
-    rows, most = 90, similar.CELLS // 2 + similar.EXTRA // 32
-    base = rng.integers(0, 1 << 63, (3, similar.WIDE + most), dtype=np.uint64)
-    f = base[rng.integers(0, 3, rows)]
-    f[:, similar.WIDE + most - 1] ^= rng.integers(0, 1 << 20, rows, dtype=np.uint64)
-    f[:, similar.WIDE] = base[0, similar.WIDE]  # the first cells are common to all
-    node, root = np.arange(rows) + 5, rng.integers(0, 6, rows)
-    n, zero = np.full(rows, 50), np.zeros(rows, np.int64)
-    a, b = similar.pairs_across(zero, zero, node, root, f, n, 0.8)
-    x, y = np.triu_indices(rows, 1)
-    k = similar._near(f, n, zero, x, y, 0.8)[0]
-    want = {(node[i], node[j]) for i, j in zip(x[k], y[k], strict=True) if root[i] != root[j]}
-    assert {(min(p), max(p)) for p in zip(a, b, strict=True)} == want and len(a) == len(want) > 100
+    rows, most = 90, len(similar.DIGESTS)
+    base = rng.integers(0, 1 << 63, (12, most), dtype=np.uint64)
+    kind = rng.integers(0, 12, rows)
+    f = base[kind]
+    f[:, most - 1] ^= rng.integers(0, 1 << 20, rows, dtype=np.uint64)
+    f[:, 0] = base[0, 0]  # the first cells are common to all
+    node, root, n = np.arange(rows) + 5, np.where((rng.random(rows) < 0.8) & (kind < 4), 1000, rng.integers(0, 6, rows) + 2000 + 10 * kind), np.full(rows, 50)
+    want = brute_roots(node, f, n, root, 0.8)
+    classes = spark.createDataFrame([(int(a), 50, *map(int, x.view(np.int64))) for a, x in zip(node, f, strict=True)], "node long, n long, " + ", ".join(f"{c} long" for c in similar.DIGESTS))
+    large = spark.createDataFrame([(7, int(a), 0) for a in node], "cell long, a long, b long")
+    roots = spark.createDataFrame([(int(a), int(r)) for a, r in zip(node, root, strict=True)], "node long, root long")
+    for block in (similar.BLOCK, 300):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        got = similar.links_outside(large, roots, classes, lambda nodes: nodes.withColumn("shingles", F.array(F.lit(1).cast("long"))), 0.8).collect()
+        joined = {int(r): int(r) for r in root}
+        for a, b in got:
+            a, b = joined[a], joined[b]
+            joined = {r: min(a, b) if g in (a, b) else g for r, g in joined.items()}
+        assert joined == want and 1 < len(set(want.values())) < len(want)
+    assert len(got) >= len(want) - len(set(want.values()))
+
+
+def test_leaders_over_batches():
+    """A large cell that comes in pieces: every row near a leader gets a link, whatever the cuts."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, (3, len(similar.DIGESTS)), dtype=np.uint64)
+    kind = np.arange(400) % 3
+    leaders, links = similar.Leaders(), []
+    for cut in np.array_split(np.arange(400), 7):
+        a, b = leaders.links(cut, base[kind[cut]], np.full(len(cut), 9), 0.8)
+        links += list(zip(a.tolist(), b.tolist(), strict=True))
+    assert len(leaders.node) == 3 and len(links) == 397 and all(kind[a] == kind[b] for a, b in links)
+
+
+def test_hash_tells_texts_of_regular_structure_apart():
+    """Thue-Morse words collide for every base modulo 2^64."""
+    bit = np.array([k.bit_count() % 2 for k in range(4096)])
+    data = np.concatenate([97 + bit, 98 - bit]).astype(np.uint8)
+    p = similar.prefix_hash(data)
+    assert len(set(similar.span_hash(p, np.array([0, 4096]), np.array([4096, 8192])).tolist())) == 2
+    assert similar.span_hash(p, np.array([0]), np.array([1])) == similar.span_hash(p, np.array([3]), np.array([4]))
+
+
+def test_drop_similar_of_sf(spark):
+    """Ten thousand real rows, all pairs that share a shingle counted in SQL: recall of the links' groups."""
+    con = duckdb.connect()
+    src = "/root/testdata/sf0.1/documents.parquet"
+    rows = con.sql(f"select doc_id, text from '{src}'").fetchall()
+    sets, owner = {}, {}
+    for i, t in rows:
+        w = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split()
+        sets.setdefault(tuple(w), [set(hash(tuple(w[k : k + 5])) for k in range(max(1, len(w) - 4))) if w else set(), []])[1].append(i)
+    keys, shared = list(sets), Counter()
+    for k, w in enumerate(keys):
+        for g in sets[w][0]:
+            owner.setdefault(g, []).append(k)
+    for own in owner.values():
+        shared.update((a, b) for x, a in enumerate(own) for b in own[x + 1 :])
+    group = list(range(len(keys)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (len(sets[keys[a]][0]) + len(sets[keys[b]][0]) - n):
+            a, b = sorted((find(a), find(b)))
+            group[b] = a
+    want = {}
+    for k, w in enumerate(keys):
+        want.setdefault(find(k), []).extend(sets[w][1])
+    got = sorted(r[0] for r in similar.drop_similar(spark.read.parquet(src)).select("doc_id").collect())
+    assert got == sorted(min(v) for v in want.values())
 
 
 # ---- 9
