@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,6 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def tidy() -> None:
+    """Give memory that this process no longer uses back to the machine: the driver, and workers that are kept for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -117,6 +129,7 @@ def map_text(
         for batch in batches:
             for part in byte_slices(batch, where, max_bytes):
                 yield pa.RecordBatch.from_arrays([*part.columns[:k], *work(part.column(where))], names=labels)
+        tidy()
 
     out = flat.select(*[f"c{i}" for i in used]).mapInArrow(run, out_schema)
     made = {f.name for f in fields}
@@ -124,13 +137,11 @@ def map_text(
 
 
 def limit_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of long texts small; a setting of the user's stays."""
+    """Keep Arrow batches of long texts small, for the session; a setting made by the user stays."""
+    own = spark.conf.getAll() if callable(spark.conf.getAll) else spark.conf.getAll
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
-        try:
-            if int(spark.conf.get(key).rstrip("bB")) > most:
-                spark.conf.set(key, str(most))
-        except Exception:  # noqa: BLE001  the key is unknown in other versions
-            pass
+        if key not in own:
+            spark.conf.set(key, str(most))
 
 
 # ---------------------------------------------------------------- hashing

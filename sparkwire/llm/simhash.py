@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, keep_keys, keyed, map_text, stash
+from .common import U64, keep_keys, keyed, map_text, stash, tidy
 from .components import components
 
 EVEN = U64(0x5555555555555555)
@@ -140,8 +140,8 @@ def links_in_cells(cell: np.ndarray, fp: np.ndarray, most: int = 4) -> tuple[np.
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
-        for k in range(0, len(fp), 20_000):
-            part = fp[k : k + 20_000]
+        for k in range(0, len(fp), 1200):  # some 60,000 rows a batch
+            part = fp[k : k + 1200]
             row, cell = cells(part)
             yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(part[row].view(np.int64))], names=["cell", "fp"])
 
@@ -169,6 +169,7 @@ def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held_c, held_f, rows = [c[cut:]], [f[cut:]], len(c) - cut
     if held_c:
         yield flush(np.concatenate(held_c), np.concatenate(held_f))
+    tidy()
 
 
 def links(prints: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, map_text, prefix_hash, runs, span_hash, splitmix, text_buffer
+from .common import U64, map_text, prefix_hash, runs, span_hash, splitmix, text_buffer, tidy
 
 #: Bytes of words: lower-cased letters, digits and all bytes of non-ASCII characters; 0 parts words.
 LETTERS = np.zeros(256, np.uint8)
@@ -246,7 +246,10 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, settings: Settings = Settings()) -> Model:
     *rows, stands = sample(docs, labels, F.lit(True) if learn is None else learn, settings)
-    return fit(*rows, settings, stands)
+    model = fit(*rows, settings, stands)
+    del rows
+    tidy()
+    return model
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang", carry: list[str] | None = None) -> DataFrame:
