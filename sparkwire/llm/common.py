@@ -50,6 +50,13 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, names: list[str]) -> str:
+    """`name`, or a longer one that no column has."""
+    while name in names:
+        name += "_"
+    return name
+
+
 def columns_by_position(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """`df` with unique names c0, c1, ... and its own names: repeated names do no harm."""
     names = df.columns

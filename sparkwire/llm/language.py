@@ -7,11 +7,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, map_text, text_buffer
+from .common import U64, map_text, text_buffer, unused
 
 #: Family of each language code; a code that is absent belongs to "other".
 FAMILIES = {
@@ -176,7 +176,10 @@ def sample(docs: DataFrame, learn: Column, s: Settings) -> tuple[list[str], list
         return [], []
     share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, 1.3 * s.per_lang / n))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(1 << 20)) / float(1 << 20)
-    rows = known.where(draw < share[F.col("lang")]).select("text", "lang", F.xxhash64("text").alias("h")).limit(int(2 * s.per_lang * len(counts))).collect()
+    # those of the least hash, by languages; a row's place is the order of its text, so which rows are taken is settled
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    rows = known.where(draw < share[F.col("lang")]).select("text", "lang", F.xxhash64("text").alias("h"))
+    rows = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= s.per_lang).select("text", "lang", "h").collect()
     out: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["h"], r["text"])):
         out.setdefault(r["lang"], []).append(r["text"])
@@ -192,7 +195,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[
     """Adds lang_pred and score (double, 0 to 1), from the whole text alone.
 
     `und` with score 0 for null texts and texts without a letter. Ties go to the first class in order of name.
-    Repeated rows, null ids and extra columns are kept as they are.
+    Repeated rows, null ids and extra columns are kept as they are, whatever their names; one named lang_pred or score gives way
+    to the result. An empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pairs x dims: size fixed by Settings and the learned languages
 
@@ -203,8 +207,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[
 
         return work
 
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lettered", T.BooleanType())]
-    flagged = docs.withColumn("lettered", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    keep = None if carry is None else [*carry, "lettered"]
-    out = map_text(flagged, kernel, fields[:2], text_col, keep)
-    return out.withColumns({"lang_pred": F.when(F.col("lettered"), F.col("lang_pred")).otherwise(UNDETERMINED), "score": F.when(F.col("lettered"), F.col("score")).otherwise(0.0)}).drop("lettered")
+    flag = unused("lettered", docs.columns)
+    flagged = docs.withColumn(flag, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    out = map_text(flagged, kernel, fields, text_col, None if carry is None else [*carry, flag])
+    return out.withColumns({"lang_pred": F.when(F.col(flag), F.col("lang_pred")).otherwise(UNDETERMINED), "score": F.when(F.col(flag), F.col("score")).otherwise(0.0)}).drop(flag)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import columns_by_position, stash
 
 #: Key of a null level value; a level column is compared as text.
 NULL = "\u0000null"
@@ -65,11 +65,23 @@ def mix(
     the document's tokens lie in the prefix, fewer than all for the last). start: tokens before it in its epoch, for
     the partial epoch's documents (null in whole epochs). Documents without tokens are chosen in whole epochs only, or where
     they stand before the end of the prefix. Levels are compared as text, a null is a value of its own; null keys and
-    repeated rows are ordered like others. Ends of prefixes are found from sums by bucket of the order, so
-    no leaf is sorted in one task: only its last bucket is.
+    repeated rows are ordered like others. Quotas are whole numbers that differ from the leaves' shares by less than one and add
+    up to the budget, or to all there is. Ends of prefixes are found from sums by bucket of the order, so no leaf is sorted in
+    one task: only its last bucket is. Columns of any name are kept; one named epoch, start or taken gives way to the result. An
+    empty table gives empty results.
     """
     if (budget is None) == (share is None):
         raise ValueError("give budget or share")
+    docs, own = columns_by_position(docs)
+    place = {c: f"c{own.index(c)}" for c in (*levels, tokens_col, *key_cols)}
+    made = {"epoch", "start", "taken"}
+    out, report = _mix(docs, [place[c] for c in levels], {place[c]: w for c, w in weights.items() if c in place}, budget, share, place[tokens_col], tuple(place[c] for c in key_cols), max_epochs, seed, docs_per_bucket)
+    out = out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(own) if n not in made], *[c for c in out.columns if c in made])
+    return out, report.select(*[F.col(place[c]).alias(c) for c in levels], "supply", "docs", "quota", "epochs")
+
+
+def _mix(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], budget: int | None, share: float | None, tokens_col: str, key_cols: tuple[str, ...], max_epochs: int, seed: int, docs_per_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """mix() of columns c0, c1, ..."""
     names = docs.columns
     lv = [f"lv{i}_" for i in range(len(levels))]
     x = docs.withColumns({lv[i]: F.coalesce(F.col(c).cast("string"), F.lit(NULL)) for i, c in enumerate(levels)}).withColumn("tok_", F.greatest(F.coalesce(F.col(tokens_col), F.lit(0)), F.lit(0)).cast("long"))
@@ -78,7 +90,9 @@ def mix(
     total = supply.agg(F.sum("supply").alias("s")).first()["s"] or 0
     want = int(budget if budget is not None else total * share)
     named = {lv[i]: weights.get(c, {}) for i, c in enumerate(levels)}
-    leaf = allocate(supply, lv, named, F.lit(want)).withColumn("quota", F.floor("alloc").cast("long"))
+    leaf = stash(allocate(supply, lv, named, F.lit(want)), "shares")
+    upto = F.sum("alloc").over(Window.orderBy(*lv).rowsBetween(Window.unboundedPreceding, 0))  # one row a leaf
+    leaf = leaf.withColumn("upto", F.floor(upto + 1e-6)).withColumn("quota", F.least("cap", F.col("upto") - F.coalesce(F.lag("upto").over(Window.orderBy(*lv)), F.lit(0))).cast("long")).drop("upto")
     whole = F.when(F.col("supply") > 0, F.expr("quota div supply")).otherwise(0).cast("int")
     leaf = leaf.withColumn("full_", whole).withColumn("rest_", F.col("quota") - F.col("full_") * F.col("supply"))
     leaf = stash(leaf.withColumn("nb_", F.greatest(F.lit(1), F.ceil(F.col("docs") / docs_per_bucket))).drop("alloc", "cap"), "quota")

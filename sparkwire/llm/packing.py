@@ -148,12 +148,15 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
 
     The driver gets the counts by (bucket, length), at most buckets * capacity numbers at any input, packs the
     lengths and sends back ranks' places. Ranks inside a bucket and length follow `order`; null ids and
-    repeated rows rank like others. An empty table gives an empty one.
+    repeated rows rank like others. An empty table gives an empty one. Columns of any name are kept; one named sequence_id or
+    offset gives way to the result.
     """
     spark = pieces.sparkSession
+    pieces, own = columns_by_position(pieces)
+    order, size = tuple(f"c{own.index(c)}" for c in order), f"c{own.index('length')}"
     bucket = F.pmod(F.xxhash64(*order, F.lit(17)), F.lit(buckets)).cast("int")
     held = stash(pieces.withColumn("bucket_", bucket), "pieces")
-    got = held.groupBy("bucket_", "length").agg(F.count(F.lit(1)).alias("n")).collect()
+    got = held.groupBy("bucket_", size).agg(F.count(F.lit(1)).alias("n")).toDF("bucket_", "length", "n").collect()
     table = np.zeros((buckets, capacity + 1), np.int64)
     for r in got:
         if r["length"] is None or not 1 <= r["length"] <= capacity:
@@ -161,7 +164,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
         table[r["bucket_"], r["length"]] = r["n"]
     base = np.cumsum(table, 0) - table
     shared = spark.sparkContext.broadcast((best_two_fit(table.sum(0), capacity), base))
-    ranked = held.withColumn("rank_", F.row_number().over(Window.partitionBy("bucket_", "length").orderBy(*order)) - 1)
+    ranked = held.withColumn("rank_", F.row_number().over(Window.partitionBy("bucket_", size).orderBy(*order)) - 1)
     names = pieces.columns
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
@@ -169,11 +172,13 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
         plan, first = shared.value
         for batch in batches:
             if batch.num_rows:
-                b, n, r = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket_", "length", "rank_"))
+                b, n, r = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket_", size, "rank_"))
                 seq, off = plan.place(n, first[b, n] + r)
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "bucket_", "rank_").mapInArrow(run, schema)
+    out = ranked.select(*names, "bucket_", "rank_").mapInArrow(run, schema)
+    made = {"sequence_id", "offset"}
+    return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(own) if n not in made], "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, language, lengths, mixing, packing, repetition, sharding, simhash, suffix, toxicity
-from .common import stash
+from .common import shared_dir, stash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +32,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 12 old shards filled source by source to 16 of equal bytes."""
+    """From 12 old shards filled source by source to 16 of equal bytes, written as files; what is told is read from these.
+
+    Law `bytes`: shards' sizes are near equal, whichever shards equal texts are in (they may part)."""
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", (F.octet_length(utf8("text")) + 1).cast("long").alias("size"), F.crc32(utf8("text")).alias("text_crc32"), F.pmod(F.crc32(utf8("source")), F.lit(12)).cast("int").alias("was"))
-    out, _ = sharding.reshard(rows, F.col("was"), 16, key_cols=("doc_id", "text_crc32"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    rows = docs.select("doc_id", "text", (F.octet_length(utf8("text")) + 1).cast("long").alias("size"), F.crc32(utf8("text")).alias("text_crc32"), F.pmod(F.crc32(utf8("source")), F.lit(12)).cast("int").alias("was"))
+    out, moves = sharding.reshard(rows, F.col("was"), 16, key_cols=("doc_id", "text_crc32"))
+    out = out.select("doc_id", "text", "old_shard", "shard", "slot")
+    path = f"{shared_dir(spark)}/layout-{uuid.uuid4().hex}"
+    sharding.rewrite(out, moves, path)
+    files = sharding.read_layout(spark, path, out.schema)
+    size, crc = (F.octet_length(utf8("text")) + 1).cast("long"), F.crc32(utf8("text"))
+    return files.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from collections import deque
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stash
 
@@ -64,65 +65,112 @@ def reshard(rows: DataFrame, old: Column, n_new: int, size_col: str = "size", ke
     there is one, and bytes that stay cost nothing. Capacities default to equal shares. An old shard is cut into
     blocks by a hash of the key (about block_bytes each, most_blocks in all); flow is dealt out along the
     blocks in order, so a shard misses its flow by less than one row for each old shard that feeds it.
-    Slots are gapless from 0 in each new shard. Sizes must not be null or negative. Repeated rows and
-    null keys are rows like others; an empty table gives an empty result.
+    Slots are gapless from 0 in each new shard. Sizes must not be null or negative. Repeated rows and null keys are rows like
+    others; an empty table gives an empty result. A column of `rows` named old_shard, shard or slot gives way to the result.
+    Only keys and sizes are written for the plan; whole rows are shuffled once, by block, when the result is read.
     """
-    spark = rows.sparkSession
-    names = rows.columns
-    keyed = rows.withColumns({"old_shard": F.coalesce(old, F.lit(0)).cast("int"), "hash_": F.xxhash64(*key_cols, F.lit(29))})
-    held = stash(keyed, "rows")
-    sizes = {r["old_shard"]: (r["b"], r["n"]) for r in held.groupBy("old_shard").agg(F.sum(size_col).alias("b"), F.count(F.lit(1)).alias("n")).collect()}
+    spark, names = rows.sparkSession, rows.columns
+    flat = rows.select("*", F.coalesce(old, F.lit(0)).cast("int")).toDF(*[f"c{i}" for i in range(len(names))], "old_shard")
+    size, keys = f"c{names.index(size_col)}", [f"c{names.index(c)}" for c in key_cols]
+    keyed = flat.withColumn("hash", F.xxhash64(*keys, F.lit(29)))
+    held = stash(keyed.select(*dict.fromkeys([*keys, size]), "old_shard", "hash"), "rows")
+    sizes = {r["old_shard"]: r["b"] for r in held.groupBy("old_shard").agg(F.sum(size).alias("b")).collect()}
     n_old = max([n_new - 1, *sizes]) + 1
-    supply = [int(sizes.get(i, (0, 0))[0] or 0) for i in range(n_old)]
+    supply = [int(sizes.get(i) or 0) for i in range(n_old)]
     total = sum(supply)
     room = capacities or [total // n_new + (j < total % n_new) for j in range(n_new)]
     flow = min_cost_flow(supply, room, lambda i, j: int(i != j))
     unit = max(block_bytes, -(-total // most_blocks), 1)
-    per = [max(1, -(-x // unit)) for x in supply]
-    table = F.array(*[F.lit(x) for x in per])
-    held = held.withColumn("block_", F.pmod(F.shiftrightunsigned("hash_", 1), F.element_at(table, F.col("old_shard") + 1)).cast("int"))
-    blocks = held.groupBy("old_shard", "block_").agg(F.sum(size_col).alias("b")).collect()  # at most n_old + total / unit rows
-    before: dict[tuple[int, int], int] = {}
-    run = [0] * n_old
-    for r in sorted(blocks, key=lambda r: (r["old_shard"], r["block_"])):
-        before[r["old_shard"], r["block_"]] = run[r["old_shard"]]
-        run[r["old_shard"]] += r["b"]
-    start = spark.createDataFrame([(i, k, int(x)) for (i, k), x in before.items()], "old_shard int, block_ int, before_ long")
-    # bytes that stay come first, then the other shards in order
-    ends: list[list[tuple[int, int]]] = []
-    for i in range(n_old):
-        at, own = 0, []
-        for j in sorted((j for a, j in flow if a == i), key=lambda j: (j != i, j)):
-            at += flow[i, j]
-            own.append((at, j))
-        ends.append(own or [(0, i if i < n_new else 0)])
-    within = Window.partitionBy("old_shard", "block_").orderBy("hash_", *key_cols, size_col)
-    placed = held.join(F.broadcast(start), ["old_shard", "block_"]).withColumns({
-        "mid_": F.col("before_") + F.sum(size_col).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size_col) + F.floor(F.col(size_col) / 2),
-        "rn_": F.row_number().over(within),
-    })
-    target = F.lit(0)
-    for i, own in enumerate(ends):
-        pick: Column = F.lit(own[-1][1])
-        for at, j in reversed(own[:-1]):
-            pick = F.when(F.col("mid_") < at, j).otherwise(pick)
-        target = F.when(F.col("old_shard") == i, pick).otherwise(target)
-    placed = stash(placed.withColumn("shard", target.cast("int")).select(*names, "old_shard", "block_", "rn_", "shard"), "placed")
+    per = spark.createDataFrame([(i, max(1, -(-supply[i] // unit))) for i in sizes], "old_shard int, blocks long")
+    within = Window.partitionBy("old_shard", "block").orderBy("hash", *keys, size)
+
+    def blocked(x: DataFrame) -> DataFrame:
+        x = x.join(F.broadcast(per), "old_shard").withColumn("block", F.pmod(F.shiftrightunsigned("hash", 1), F.col("blocks")))
+        return x.withColumn("place", F.row_number().over(within))
+
+    before = spark.createDataFrame(_running(blocked(held).groupBy("old_shard", "block").agg(F.sum(size).alias("b")).collect()), "old_shard int, block long, before long")
+    # an old shard's bytes in order: those that stay, then the other shards'
+    ends, at = [], dict.fromkeys(range(n_old), 0)
+    for i, j in sorted(flow, key=lambda k: (k[0], k[0] != k[1], k[1])):
+        ends.append((i, at[i], at[i] + flow[i, j], j))
+        at[i] += flow[i, j]
+    last = {i: max(k for k, e in enumerate(ends) if e[0] == i) for i in {e[0] for e in ends}}
+    ends = [(i, lo, total + 1 if k == last[i] else hi, j) for k, (i, lo, hi, j) in enumerate(ends)]
+    ends += [(i, 0, total + 1, i if i < n_new else 0) for i in sizes if i not in last]  # rows without bytes
+    ranges = spark.createDataFrame(ends, "old_shard int, low long, high long, shard int")
+    middle = F.col("before") + F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size) + F.floor(F.col(size) / 2)
+    placed = blocked(held).join(F.broadcast(before), ["old_shard", "block"]).withColumn("middle", middle)
+    placed = placed.join(F.broadcast(ranges), "old_shard").where("middle >= low and middle < high")
     # inside a block the rows of a shard are neighbours: a slot is the block's first slot plus the place among them
-    runs = placed.groupBy("shard", "old_shard", "block_").agg(F.count(F.lit(1)).alias("n"), F.min("rn_").alias("first_"))
-    slots = runs.withColumn("base_", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("old_shard", "block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    out = placed.join(F.broadcast(slots), ["shard", "old_shard", "block_"]).select(*names, "old_shard", "shard", (F.col("base_") + F.col("rn_") - F.col("first_")).cast("long").alias("slot"))
+    runs = placed.groupBy("shard", "old_shard", "block").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    base = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = stash(runs.withColumn("base", base), "cuts")  # blocks and transfers together
+    out = blocked(keyed).join(F.broadcast(cuts), ["old_shard", "block"]).where("place >= first and place < first + n")
+    made = {"old_shard", "shard", "slot"}
+    out = out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in made], "old_shard", "shard", (F.col("base") + F.col("place") - F.col("first")).cast("long").alias("slot"))
     moves = spark.createDataFrame([(i, j, int(x), i != j) for (i, j), x in sorted(flow.items())], "old_shard int, shard int, bytes long, moved boolean")
     return out, moves
 
 
-def affected(transfers: DataFrame) -> np.ndarray:
+def _running(blocks: list) -> list[tuple[int, int, int]]:
+    """Bytes of each old shard before each of its blocks. blocks: (old_shard, block, b), at most old shards + total / unit of them."""
+    out, run = [], {}
+    for i, k, b in sorted((r["old_shard"], r["block"], int(r["b"])) for r in blocks):
+        out.append((i, k, run.get(i, 0)))
+        run[i] = run.get(i, 0) + b
+    return out
+
+
+def affected(transfers: DataFrame) -> list[int]:
     """The shards whose files a transfer changes; the others stay as they are."""
-    rows = transfers.where("moved").collect()  # at most old x new rows
-    return np.unique([x for r in rows for x in (r["old_shard"], r["shard"])]).astype(int)
+    rows = transfers.where("moved").collect()  # at most old + new rows
+    return sorted({int(x) for r in rows for x in (r["old_shard"], r["shard"])})
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """(version, folder of each shard) of a layout; (-1, {}) where there is none."""
+    try:
+        rows = spark.read.schema("shard int, folder string, v int").parquet(f"{path}/_manifest")
+        version = rows.agg(F.max("v")).first()[0]
+    except AnalysisException:
+        version = None
+    return (-1, {}) if version is None else (version, {r["shard"]: r["folder"] for r in rows.where(F.col("v") == version).collect()})
+
+
+def rewrite(placed: DataFrame, transfers: DataFrame, path: str, rows_per_file: int = 1 << 20) -> list[int]:
+    """Write the affected shards of a layout anew, in slot order, and give their numbers; files of other shards stay as they are.
+
+    Files go to a new folder path/vN, in ranges of rows_per_file slots, and a manifest in path/_manifest names the folder of every
+    shard from then on: it comes last and is one file, so that a job that dies leaves the old layout whole, and rows may be read
+    from the layout that is rewritten. Where there is no layout yet all shards are written. Shards that rows have left for good
+    are dropped from the manifest; old files are never deleted.
+    """
+    spark = placed.sparkSession
+    version, folders = _manifest(spark, path)
+    hit, folder = affected(transfers), f"v{version + 1}"
+    new = placed if version < 0 else placed.where(F.col("shard").isin(hit))
+    piece = F.floor(F.col("slot") / rows_per_file)
+    new.repartition(F.col("shard"), piece).sortWithinPartitions("shard", "slot").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(f"{path}/{folder}")
+    try:
+        written = [r[0] for r in spark.read.parquet(f"{path}/{folder}").select("shard").distinct().collect()]
+    except AnalysisException:  # no rows
+        written = []
+    kept = {k: f for k, f in folders.items() if k not in hit} | dict.fromkeys(written, folder)
+    rows = spark.createDataFrame(sorted(kept.items()), "shard int, folder string").coalesce(1)
+    rows.write.parquet(f"{path}/_manifest/v={version + 1}")
+    return hit
 
 
-def rewrite(placed: DataFrame, transfers: DataFrame, path: str) -> None:
-    """Write the affected shards' rows, in slot order, to path/shard=K; untouched shards are not written."""
-    hit = affected(transfers).tolist()
-    placed.where(F.col("shard").isin(hit)).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+def read_layout(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The rows of a layout as of its last manifest, with shard. schema: of the files, for a layout without rows."""
+    _, folders = _manifest(spark, path)
+    parts = []
+    for folder in sorted(set(folders.values())):
+        own = sorted(k for k, f in folders.items() if f == folder)
+        parts.append(spark.read.parquet(f"{path}/{folder}").where(F.col("shard").isin(own)))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

@@ -117,16 +117,58 @@ def test_reshard(spark, docs, empty, tmp_path):
     size = [sum(r["size"] for r in by.get(k, [])) for k in range(3)]
     assert max(size) - min(size) <= 2 * max(r["size"] for r in got)
     assert {x["bytes"] for x in moves.where("old_shard = shard").collect()} == {sum(size) // 3 + (sum(size) % 3 > 0)}
-    sharding.rewrite(out, moves, f"file://{tmp_path}/s")
-    assert spark.read.parquet(f"file://{tmp_path}/s").count() == len(got)
-    none, _ = sharding.reshard(empty.select("doc_id", F.lit(1).cast("long").alias("size")), F.lit(0), 4)
-    assert none.count() == 0
+    path = f"file://{tmp_path}/s"
+    sharding.rewrite(out, moves, path)
+    files = sharding.read_layout(spark, path).collect()
+    assert Counter((r["doc_id"], r["text"], r["shard"], r["slot"]) for r in files) == Counter((r["doc_id"], r["text"], r["shard"], r["slot"]) for r in got)
+    none, moves = sharding.reshard(empty.select("doc_id", F.lit(1).cast("long").alias("size")), F.lit(0), 4)
+    assert none.count() == 0 and sharding.rewrite(none, moves, f"file://{tmp_path}/none") == []
+    assert sharding.read_layout(spark, f"file://{tmp_path}/none", none.schema).count() == 0
+    names = ["old_shard", "shard", "slot", "block", "hash", "b", "n"]
+    odd, _ = sharding.reshard(clash(rows, *names), F.lit(None), 3, key_cols=("doc_id", "text"))
+    assert odd.columns == [*rows.columns, "block", "hash", "b", "n", "old_shard", "shard", "slot"] and odd.count() == len(got)
+    assert {r["hash"] for r in odd.select("hash").collect()} == {"mine"}
+
+
+def test_rewrite_leaves_untouched_shards(spark, tmp_path):
+    """Shard 0 keeps its files; shards 1 and 2 swap a part; the rows are read from the layout that is rewritten."""
+    path = f"file://{tmp_path}/layout"
+    rows = spark.createDataFrame([(i, f"text {i}" * (i % 5), 0 if i < 100 else 1 if i < 300 else 2) for i in range(400)], "doc_id long, text string, was int")
+    rows = rows.withColumn("size", (F.octet_length("text") + 1).cast("long"))
+    sizes = [r[0] for r in rows.groupBy("was").agg(F.sum("size")).orderBy("was").select("sum(size)").collect()]
+    first, moves = sharding.reshard(rows, F.col("was"), 3, capacities=sizes, block_bytes=200)
+    assert sharding.affected(moves) == []
+    sharding.rewrite(first, moves, path, rows_per_file=30)
+    before = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.read_layout(spark, path).collect()}
+    old = {f: f.read_bytes() for f in (tmp_path / "layout/v0/shard=0").glob("*.parquet")}
+    assert len(old) > 1 and len(before) == 400
+    now = sharding.read_layout(spark, path).drop("old_shard", "slot").withColumnRenamed("shard", "at")
+    moved = 400
+    second, moves = sharding.reshard(now, F.col("at"), 3, capacities=[sizes[0], sizes[1] - moved, sizes[2] + moved], block_bytes=200)
+    assert sharding.rewrite(second.drop("at"), moves, path) == [1, 2]
+    after = sharding.read_layout(spark, path).collect()
+    assert {f: f.read_bytes() for f in old} == old and not (tmp_path / "layout/v1/shard=0").exists()
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in after if r["shard"] == 0} == {x for x in before if x[1] == 0}
+    assert sorted(r["doc_id"] for r in after) == list(range(400)) and all(r["text"] == f"text {r['doc_id']}" * (r["doc_id"] % 5) for r in after)
+    size = Counter()
+    for r in after:
+        size[r["shard"]] += len(r["text"]) + 1
+    assert size[0] == sizes[0] and abs(size[2] - sizes[2] - moved) <= 2 * 31
+    for k in range(3):
+        assert sorted(r["slot"] for r in after if r["shard"] == k) == list(range(sum(r["shard"] == k for r in after)))
 
 
 def test_op2_contract(spark):
     got = queries.op2_reshard(spark, SF).collect()
-    by = Counter(r["shard"] for r in got)
+    by, size = Counter(r["shard"] for r in got), Counter()
     assert set(by) <= set(range(16)) and all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(n)) for k, n in by.items())
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sorted(r["doc_id"] for r in got) == sorted(text)
+    for r in got:
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(text[r["doc_id"]]) + 1, zlib.crc32(text[r["doc_id"]]), "bytes", None)
+        size[r["shard"]] += r["size"]
+    # near equal: by less than a row for each of the 12 old shards
+    assert max(size.values()) - min(size[k] for k in range(16)) <= 12 * max(r["size"] for r in got)
 
 
 # ---- 3
@@ -292,7 +334,32 @@ def test_mixing(spark, docs, empty):
         assert sum(x["taken"] for x in own) == r["quota"]
         last = sorted((x["start"], x["taken"], x["n_tokens"]) for x in own if x["start"] is not None)
         assert all(t == n for _, t, n in last[:-1])
+    assert sum(r["quota"] for r in leaves) == min(int(total * 0.9), sum(caps))
     assert mixing.mix(empty.withColumn("n_tokens", F.lit(1)), ["lang"], {}, share=0.5)[0].count() == 0
+    names = ["supply", "docs", "quota", "t", "cap", "start", "epoch", "lv0_", "alloc", "md_"]
+    odd, _ = mixing.mix(clash(rows, *names), ["lang", "source"], weights, share=0.9, max_epochs=2, seed=3, key_cols=("doc_id", "text"), docs_per_bucket=2)
+    kept = [c for c in (*rows.columns, *names) if c not in ("start", "epoch")]
+    assert odd.columns == [*kept, "epoch", "start", "taken"] and {r["quota"] for r in odd.collect()} == {"mine"}
+    assert Counter((x["doc_id"], x["text"], x["epoch"], x["start"], x["taken"]) for x in odd.collect()) == Counter((x["doc_id"], x["text"], x["epoch"], x["start"], x["taken"]) for x in got)
+
+
+def test_mixing_chooses_the_documents_of_a_plain_walk(spark, docs):
+    """Leaf by leaf in plain Python: md5 order, whole epochs, then documents that begin before the rest is reached."""
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("n_tokens", mixing.count_words("text"))
+    out, report = mixing.mix(rows, ["lang"], {"lang": {"en": 3}}, share=1.2, max_epochs=3, seed=5, docs_per_bucket=2)
+    got = Counter((x["doc_id"], x["epoch"], x["start"], x["taken"]) for x in out.collect())
+    want = Counter()
+    for leaf in report.collect():
+        own = [x for x in rows.collect() if (x["lang"] or mixing.NULL) == leaf["lang"]]
+        epochs, rest = divmod(leaf["quota"], max(leaf["supply"], 1)) if leaf["supply"] else (0, 0)
+        want.update((x["doc_id"], e, None, x["n_tokens"]) for e in range(epochs) for x in own)
+        at = 0
+        for x in sorted(own, key=lambda x: (hashlib.md5(f"5:{epochs}:{x['doc_id']}".encode()).hexdigest(), x["n_tokens"])):
+            if at >= rest:
+                break
+            want[x["doc_id"], epochs, at, min(x["n_tokens"], rest - at)] += 1
+            at += x["n_tokens"]
+    assert got == want
 
 
 # ---- 7
@@ -621,6 +688,24 @@ def test_neighbours_of_many_equal_vectors(spark):
 # ---- pipeline
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path, texts):
+    """Null, empty, blank, repeated and clashing input, and an empty table: every stage ends, and keeps columns and their values."""
+    names = ["score", "rejected", "n_bytes", "n_removed", "n_spans", "domain", "n_tokens", "supply", "quota", "node", "key1_", "text_", "sequence_id"]
+    rows = [(i if i % 9 else None, x, ["en", None][i % 2], None if i % 5 == 0 else f"src{i % 3}", None if x is None else len(x)) for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:4], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(1, 20)] + [(None, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for given in (clash(docs, *names), clash(docs, *names).limit(0), docs.where("text is null"), docs.where("trim(text) = ''")):
+        d = corpus_pipeline.stash(given, "odd")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            n = d.count()
+            d = corpus_pipeline.stash(stage(spark, d, str(tmp_path)), "odd")
+            if k < 4:
+                assert d.columns == given.columns and d.count() <= n
+                assert {r[0] for r in d.select(*[c for c in names[:1] if c in d.columns] or [F.lit("mine")]).collect()} <= {"mine"}
+        assert set(d.columns) >= {"doc_id", "piece", "sequence_id", "offset"}
+
+
 def test_pipeline(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     names, docs = d.columns, d
