@@ -10,16 +10,32 @@ def byte_hex(x: Column) -> Column:
     return F.lpad(F.hex(x), 2, "0")
 
 
+def _bits(x: Column, mask: int) -> Column:
+    return x.bitwiseAND(F.lit(mask).cast("bigint"))
+
+
+def _nibbles(x: Column) -> Column:
+    """The two halves of each byte swapped: the text of a number's digits, reversed, then holds its bytes lowest first."""
+    return F.shiftleft(_bits(x, 0x0F0F0F0F0F0F0F0F), 4).bitwiseOR(_bits(F.shiftrightunsigned(x, 4), 0x0F0F0F0F0F0F0F0F))
+
+
 def varint_hex(x: Column) -> Column:
-    """LEB128 of a bigint read as unsigned: 1 to 10 bytes, by an unrolled ladder that stays in generated code."""
+    """LEB128 of a bigint read as unsigned: 1 to 10 bytes. Eight seven-bit groups are spread over one number, lowest first, whose
+    digits are the text of all bytes but the last. Few nodes: messages have many fields, and plans are compiled."""
     x = x.cast("bigint")
-    parts = []
-    for i in range(10):
-        here, rest = F.shiftrightunsigned(x, 7 * i), F.shiftrightunsigned(x, 7 * (i + 1)) if i < 9 else F.lit(0)
-        low = here.bitwiseAND(F.lit(127))
-        text = byte_hex(F.when(rest != 0, low + 128).otherwise(low))
-        parts.append(text if i == 0 else F.when(here != 0, text).otherwise(""))
-    return F.concat(*parts)
+    spread = None
+    for i in range(8):
+        group = F.shiftleft(_bits(F.shiftrightunsigned(x, 7 * i) if i else x, 127), 56 - 8 * i)
+        spread = group if spread is None else spread.bitwiseOR(group)
+    digits = F.hex(spread.bitwiseOR(F.lit(-0x7F7F7F7F7F7F7F80)))
+
+    def text(n: Column) -> Column:
+        last = F.call_function("shiftrightunsigned", x, n * 7 - 7)
+        ninth = F.when(n == 10, byte_hex(F.shiftrightunsigned(x, 56).bitwiseOR(F.lit(128).cast("bigint")))).otherwise("")
+        return F.concat(F.substr(digits, F.lit(1), n * 2 - 2), ninth, byte_hex(last))
+
+    bits = F.octet_length(F.bin(x))
+    return F.when((x >= 0) & (x < 128), byte_hex(x)).otherwise(let(F.floor((bits + 6) / 7).cast("int"), text))
 
 
 def varint_len(x: Column) -> Column:
@@ -32,22 +48,25 @@ def varint_len(x: Column) -> Column:
 
 def varint_value(raw: Column) -> Column:
     """The bigint (two's complement of the unsigned value) of a varint at the front of a BINARY; null where it is not a valid varint."""
-    hexed = F.hex(raw)
 
-    def byte(i: int) -> Column:
-        text = F.substring(hexed, 2 * i + 1, 2)
-        return F.when(text != "", F.conv(text, 16, 10).cast("bigint"))
+    def number(first: int, digits: int) -> Column:
+        """Bytes from a place on as a little-endian bigint; null where there are none."""
+        text = F.substring(F.hex(raw), 2 * first + 1, 2 * digits)
+        return _nibbles(F.when(text != "", F.conv(F.reverse(F.rpad(text, 2 * digits, "0")), 16, -10).cast("bigint")))
+
+    def value(w: Column) -> Column:
+        stop = _bits(F.shiftrightunsigned(F.bitwise_not(w), 7), 0x0101010101010101)  # a bit for each byte below 128
+        return let(_bits(F.bitwise_not(stop), -1).bitwiseAND(stop - 1), lambda below: ended(w, below))
 
-    def value(bs: Column) -> Column:
-        out = F.lit(None).cast("bigint")
-        for i in range(9, -1, -1):  # the first byte below 128 ends the number; a missing byte before that spoils it
-            total = bs[0].bitwiseAND(F.lit(127))
-            for j in range(1, i + 1):
-                total = total.bitwiseOR(F.shiftleft(bs[j].bitwiseAND(F.lit(127)), 7 * j))
-            out = F.when(bs[i].isNull(), None).when(bs[i] < (2 if i == 9 else 128), total).otherwise(out)
-        return out
+    def ended(w: Column, below: Column) -> Column:
+        x = _bits(w.bitwiseAND(F.shiftleft(below, 8).bitwiseOR(F.lit(255).cast("bigint"))), 0x7F7F7F7F7F7F7F7F)
+        for keep, by, put in ((0x007F007F007F007F, 1, 0x3F803F803F803F80), (0x00003FFF00003FFF, 2, 0x0FFFC0000FFFC000), (0x0FFFFFFF, 4, 0x00FFFFFFF0000000)):
+            x = _bits(x, keep).bitwiseOR(_bits(F.shiftrightunsigned(x, by), put))
+        size, ninth, tenth = F.octet_length(raw), number(8, 1), number(9, 1)
+        whole = F.when(ninth < 128, x.bitwiseOR(F.shiftleft(ninth, 56))).when(tenth < 2, x.bitwiseOR(F.shiftleft(ninth.bitwiseAND(F.lit(127)), 56)).bitwiseOR(F.shiftleft(tenth, 63)))
+        return F.when(below == -1, whole).when(F.bit_count(below) / 8 < size, x)
 
-    return let(F.array(*[byte(i) for i in range(10)]), value)
+    return let(number(0, 8), value)
 
 
 def let(x: Column, use) -> Column:
@@ -129,12 +148,14 @@ def scalar_hex(kind: str, x: Column) -> Column:
     """Payload of a scalar, without key; strings and bytes with their length."""
     if kind == "bool":
         return F.when(x, "01").otherwise("00")
+    if kind in ("uint32", "fixed32"):
+        x = F.when((x >= 0) & (x <= 0xFFFFFFFF), x).when(x.isNotNull(), F.raise_error(F.concat(F.lit(f"{kind} out of range: "), x.cast("string"))).cast("bigint"))
     if kind in ("int32", "int64", "enum", "uint32"):
         return varint_hex(x)
     if kind == "uint64":
-        return varint_hex(wrapped(x))
+        return let(wrapped(x), varint_hex)
     if kind in ("sint32", "sint64"):
-        return varint_hex(zigzag(x))
+        return let(zigzag(x), varint_hex)
     if kind in ("fixed32", "sfixed32"):
         return fixed32_hex(x)
     if kind == "float":
@@ -145,5 +166,19 @@ def scalar_hex(kind: str, x: Column) -> Column:
         return fixed64_hex(wrapped(x))
     if kind == "double":
         return fixed64_hex(double_bits(x))
-    raw = F.encode(x, "UTF-8") if kind == "string" else x
-    return F.concat(varint_hex(F.octet_length(raw)), F.hex(raw))
+    return F.concat(varint_hex(F.octet_length(x)), F.hex(x))
+
+
+def scalar_len(kind: str, x: Column) -> Column:
+    """Bytes of a scalar's payload, without key."""
+    if kind == "bool":
+        return F.lit(1)
+    if kind in ("fixed32", "sfixed32", "float"):
+        return F.lit(4)
+    if kind in ("fixed64", "sfixed64", "double"):
+        return F.lit(8)
+    if kind in ("string", "bytes"):
+        return varint_len(F.octet_length(x)) + F.octet_length(x)
+    if kind == "uint64" or kind in ("sint32", "sint64"):
+        return let(wrapped(x) if kind == "uint64" else zigzag(x), varint_len)
+    return varint_len(x)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.wire import key_hex, let, scalar_hex, varint_hex
+from ..functions.wire import key_hex, key_len, let, scalar_hex, scalar_len, varint_hex, varint_len
 from ..schema import EnumSchema, Field, MessageSchema, wire_type
 
+FIXED_SIZES = {"bool": 1, "fixed32": 4, "sfixed32": 4, "float": 4, "fixed64": 8, "sfixed64": 8, "double": 8}
+
 
 def _framed(body: Column) -> Column:
     """A body's length and the body itself, from one expression: nesting stays linear."""
-    return let(body, lambda b: F.concat(varint_hex(F.length(b) / 2), b))
+    return let(body, lambda b: F.concat(varint_hex(F.shiftright(F.octet_length(b), 1)), b))
 
 
 def _value_hex(m: MessageSchema, f: Field, x: Column, above: tuple[str, ...], depth: int) -> Column:
@@ -19,6 +21,7 @@ def _value_hex(m: MessageSchema, f: Field, x: Column, above: tuple[str, ...], de
     key = F.lit(key_hex(f.number, wire_type(f.kind)))
     if f.kind in ("message", "group"):
         inner = m.message(f)
+        x = F.struct(x.alias("value")) if f.wrapped else x
         body = F.hex(x) if above.count(inner.full_name) > depth else body_hex(inner, x, above, depth)
         return F.concat(key, body, F.lit(key_hex(f.number, 4))) if f.kind == "group" else F.concat(key, _framed(body))
     return F.concat(key, scalar_hex(f.kind, x))
@@ -60,16 +63,73 @@ def _field_hex(m: MessageSchema, f: Field, x: Column, above: tuple[str, ...], de
     return F.when(_set(f, x), text).otherwise("")
 
 
+def _one_set(oneof: str, x: Column, members: list[Field], text: Column) -> Column:
+    """The text of a oneof, or an error where more than one member is set."""
+    several = sum((x[f.name].isNotNull().cast("int") for f in members[1:]), x[members[0].name].isNotNull().cast("int")) > 1
+    return F.when(several, F.raise_error(F.lit(f"oneof {oneof} has more than one member set"))).otherwise(text)
+
+
 def body_hex(m: MessageSchema, x: Column, above: tuple[str, ...] = (), depth: int = 3) -> Column:
-    """Fields in order of tag, a oneof at its lowest. A null plain value counts as its default."""
+    """Fields in order of tag, a oneof at its lowest. A null plain value counts as its default; two set members of a oneof are an error."""
     above = (*above, m.full_name)
     parts = []
     for name, members in m.units():
-        for f in members:
-            parts.append(_field_hex(m, f, x[name][f.name] if f.oneof else x[name], above, depth))
+        texts = [_field_hex(m, f, x[name][f.name] if f.oneof else x[name], above, depth) for f in members]
+        parts += [_one_set(name, x[name], members, F.concat(*texts))] if len(members) > 1 else texts
     return F.concat(*parts) if parts else F.lit("")
 
 
+def _framed_len(body: Column) -> Column:
+    return let(body, lambda n: varint_len(n) + n)
+
+
+def _sum(xs: Column, one) -> Column:
+    return F.coalesce(F.aggregate(xs, F.lit(0).cast("bigint"), lambda total, x: total + one(x)), F.lit(0).cast("bigint"))
+
+
+def _value_len(m: MessageSchema, f: Field, x: Column, above: tuple[str, ...], depth: int) -> Column:
+    """Bytes of one occurrence of a field, key included."""
+    key = key_len(f.number)
+    if f.kind in ("message", "group"):
+        inner = m.message(f)
+        x = F.struct(x.alias("value")) if f.wrapped else x
+        body = F.octet_length(x).cast("bigint") if above.count(inner.full_name) > depth else body_len(inner, x, above, depth)
+        return F.lit(2 * key) + body if f.kind == "group" else F.lit(key) + _framed_len(body)
+    return F.lit(key) + scalar_len(f.kind, x)
+
+
+def _field_len(m: MessageSchema, f: Field, x: Column, above: tuple[str, ...], depth: int) -> Column:
+    key, none = key_len(f.number), F.lit(0).cast("bigint")
+    if f.kind == "map":
+
+        def entry(e: Column) -> Column:
+            sides = [(f.key, e["key"]), (f.value, e["value"])]
+            both = [_value_len(m, side, col, above, depth) if side.kind == "message" else F.when(_set(side, col), _value_len(m, side, col, above, depth)).otherwise(none) for side, col in sides]
+            return F.lit(key) + _framed_len(both[0] + both[1])
+
+        return _sum(F.map_entries(x), entry)
+    if f.label == "repeated":
+        if f.is_packed():
+            body = _sum(x, lambda e: scalar_len(f.kind, e)) if f.kind not in FIXED_SIZES else (F.size(x) * FIXED_SIZES[f.kind]).cast("bigint")
+            return F.when(F.size(x) > 0, F.lit(key) + _framed_len(body)).otherwise(none)
+        return _sum(x, lambda e: _value_len(m, f, e, above, depth))
+    own = _value_len(m, f, x, above, depth)
+    if f.kind in ("message", "group"):
+        return F.when(x.isNotNull(), own).otherwise(F.lit(key + (1 if f.kind == "message" else key) if f.label == "required" else 0).cast("bigint"))
+    if f.label == "required":
+        return _value_len(m, f, F.coalesce(x, F.lit(bytearray(f.zero())) if f.kind == "bytes" else F.lit(f.zero())), above, depth)
+    return F.when(x.isNotNull() if f.label == "optional" or f.oneof else _set(f, x), own).otherwise(none)
+
+
+def body_len(m: MessageSchema, x: Column, above: tuple[str, ...] = (), depth: int = 3) -> Column:
+    """Bytes of a message, counted: nothing is encoded."""
+    above, out = (*above, m.full_name), F.lit(0).cast("bigint")
+    for name, members in m.units():
+        for f in members:
+            out = out + _field_len(m, f, x[name][f.name] if f.oneof else x[name], above, depth)
+    return out
+
+
 def pb_encode(x: Column, m: MessageSchema, depth: int = 3) -> Column:
     """BINARY message; null for a null struct."""
     return F.when(x.isNotNull(), F.unhex(body_hex(m, x, (), depth)))
@@ -80,7 +140,8 @@ def pb_encode_delimited(x: Column, m: MessageSchema, depth: int = 3) -> Column:
 
 
 def pb_encoded_len(x: Column, m: MessageSchema, depth: int = 3) -> Column:
-    return F.when(x.isNotNull(), (F.length(body_hex(m, x, (), depth)) / 2).cast("bigint"))
+    """Bytes that pb_encode makes, without making them."""
+    return F.when(x.isNotNull(), body_len(m, x, (), depth).cast("bigint"))
 
 
 def pb_default(m: MessageSchema) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import wire, wkt
 from ..operators import encode as E
 from ..operators.decode import pb_decode, pb_merge, pb_merge_agg, wire_fields
-from ..schema import MessageSchema
+from ..schema import MessageSchema, to_snake
 from . import tables as S
 
 QUERIES: dict = {}
@@ -29,6 +29,19 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def wide(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that costs much a row: on all cores."""
+    x = read(spark, d, name)
+    return fan_out(x.select(*columns) if columns else x)
+
+
+def fan_out(df: DataFrame) -> DataFrame:
+    """A scan of fewer tasks than cores (few row groups) dealt out to all cores, as encoding and decoding cost far more than
+    the bytes weigh; a scan of more tasks stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def packed(df: DataFrame, m: MessageSchema, *extra: str) -> DataFrame:
     """raw: each row as a message of m, whose fields are columns by name; extra columns stay."""
     return df.select(*extra, E.pb_encode(F.struct(*[F.col(n) for n, _ in m.units()]), m).alias("raw"))
@@ -68,7 +81,7 @@ def spread() -> F.Column:
 
 @query(f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {sql_varint(UNSIGNED.format(FLAT))} AS varint FROM lineitem")
 def varint_hex(spark, d):
-    return read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), wire.varint_hex(spread()).alias("varint"))
+    return wide(spark, d, "lineitem", "l_orderkey", "l_linenumber").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), wire.varint_hex(spread()).alias("varint"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {sql_len(UNSIGNED.format(FLAT))}::BIGINT AS n FROM lineitem")
@@ -78,7 +91,7 @@ def varint_len(spark, d):
 
 @query(f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {FLAT}::BIGINT AS v FROM lineitem")
 def varint_roundtrip(spark, d):
-    x = read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.unhex(wire.varint_hex(spread())).alias("raw"))
+    x = wide(spark, d, "lineitem", "l_orderkey", "l_linenumber").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.unhex(wire.varint_hex(spread())).alias("raw"))
     return x.select("l_orderkey", "l_linenumber", wire.varint_value(F.col("raw")).alias("v"))
 
 
@@ -96,19 +109,19 @@ _BITS = "(SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE::BIT::VARCHAR
 
 @query(f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {' || '.join(f'printf(chr(37) || chr(48) || chr(50) || chr(88), (list_sum([ (substr(b, {8 * i} + k, 1)::INT * (1 << (8 - k))) for k in range(1, 9)]))::INT)' for i in range(7, -1, -1))} AS dbl, {' || '.join(f'printf(chr(37) || chr(48) || chr(50) || chr(88), (list_sum([ (substr(s, {8 * i} + k, 1)::INT * (1 << (8 - k))) for k in range(1, 9)]))::INT)' for i in range(3, -1, -1))} AS flt FROM {_BITS}")
 def float_bits_hex(spark, d):
-    x = read(spark, d, "lineitem")
+    x = wide(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
     return x.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), wire.scalar_hex("double", F.col("l_extendedprice").cast("double")).alias("dbl"), wire.scalar_hex("float", F.col("l_discount").cast("float")).alias("flt"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {sql_le('l_partkey::HUGEINT', 4)} AS f32, {sql_le(UNSIGNED.format(FLAT), 8)} AS f64, {sql_le('(4294967296 - l_partkey)::HUGEINT', 4)} AS s32 FROM lineitem")
 def fixed_hex(spark, d):
-    x = read(spark, d, "lineitem")
+    x = wide(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
     return x.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), wire.scalar_hex("fixed32", F.col("l_partkey")).alias("f32"), wire.scalar_hex("sfixed64", spread()).alias("f64"), wire.scalar_hex("sfixed32", -F.col("l_partkey")).alias("s32"))
 
 
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (CASE WHEN v < 0 THEN v::HUGEINT + 18446744073709551616 ELSE v END)::VARCHAR AS u, ((v % 4294967296 + 4294967296) % 4294967296)::BIGINT - CASE WHEN (v % 4294967296 + 4294967296) % 4294967296 >= 2147483648 THEN 4294967296 ELSE 0 END AS low FROM (SELECT l_orderkey, l_linenumber, " + FLAT + "::BIGINT AS v FROM lineitem)")
 def unsigned_and_truncated(spark, d):
-    x = read(spark, d, "lineitem")
+    x = wide(spark, d, "lineitem", "l_orderkey", "l_linenumber")
     return x.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), wire.unsigned(wire.wrapped(wire.unsigned(spread()))).cast("string").alias("u"), wire.truncate32(spread()).cast("bigint").alias("low"))
 
 
@@ -125,12 +138,12 @@ def region_encode(spark, d):
 
 @query("SELECT c_custkey::BIGINT AS c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal::DOUBLE AS c_acctbal, c_mktsegment FROM customer")
 def customer_roundtrip(spark, d):
-    return round_trip(read(spark, d, "customer"), S.CUSTOMER).withColumn("c_nationkey", F.col("c_nationkey").cast("bigint"))
+    return round_trip(wide(spark, d, "customer", *[f.name for f in S.CUSTOMER.fields]), S.CUSTOMER).withColumn("c_nationkey", F.col("c_nationkey").cast("bigint"))
 
 
 @query("SELECT vec_id, len(embedding)::BIGINT AS n, round(list_sum([x::DOUBLE for x in embedding]), 6) AS total, label::BIGINT AS label FROM embeddings")
 def packed_embedding(spark, d):
-    x = round_trip(read(spark, d, "embeddings"), S.EMBEDDING)
+    x = round_trip(wide(spark, d, "embeddings", "vec_id", "embedding", "label"), S.EMBEDDING)
     return x.select("vec_id", F.size("embedding").cast("bigint").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double")), 6).alias("total"), F.col("label").cast("bigint").alias("label"))
 
 
@@ -143,11 +156,14 @@ def packed_vs_unpacked(spark, d):
 
 
 def orders(spark: SparkSession, d: str) -> DataFrame:
-    """Orders with their line items nested, one shuffle by order key on either side."""
+    """Orders with their line items nested, one shuffle by order key on either side, to as many tasks as there are cores at least:
+    what is encoded and decoded later weighs little, so that sizes alone would leave it to one task."""
     names = [f.name for f in S.LINEITEM.fields]
-    items = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*[F.col(n) for n in ("l_linenumber", *[x for x in names if x != "l_linenumber"])]))).alias("items"))
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    items = read(spark, d, "lineitem").select("l_orderkey", F.struct(*[F.col(n) for n in ("l_linenumber", *[x for x in names if x != "l_linenumber"])]).alias("i"))
+    items = items.repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("i")).alias("items"))
     items = items.withColumn("items", F.transform("items", lambda i: F.struct(*[i[n].alias(n) for n in names])))
-    o = read(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority").repartition(n, "o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return o.select("o_orderkey", "o_custkey", F.coalesce(E.enum_number(F.col("o_orderstatus"), S.STATUS), F.lit(0)).alias("o_orderstatus"), F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderpriority", F.coalesce("items", F.array()).alias("items"))
 
 
@@ -161,7 +177,7 @@ def order_nested_revenue(spark, d):
 
 @query("SELECT l_orderkey AS key, l_partkey, l_linenumber::BIGINT AS l_linenumber, l_quantity::DOUBLE AS l_quantity, l_returnflag FROM lineitem")
 def group_roundtrip(spark, d):
-    x = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.struct(*[F.col(f.name) for f in S.LINEITEM.fields]).alias("item"))
+    x = wide(spark, d, "lineitem", "l_orderkey", *[f.name for f in S.LINEITEM.fields]).select(F.col("l_orderkey").alias("key"), F.struct(*[F.col(f.name) for f in S.LINEITEM.fields]).alias("item"))
     got = pb_decode(packed(x, S.GROUPED), "raw", S.GROUPED, mode="FAILFAST")
     return got.select("message.key", "message.item.l_partkey", F.col("message.item.l_linenumber").cast("bigint").alias("l_linenumber"), "message.item.l_quantity", "message.item.l_returnflag")
 
@@ -174,7 +190,7 @@ def conversation_repeated(spark, d):
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    x = read(spark, d, "events")
+    x = wide(spark, d, "events", "event_id", "ts", "user_id", "value", "event_type", "props")
     numeric = F.col("event_id") % 2 == 0
     what = F.struct(F.when(numeric, F.coalesce(F.col("value").cast("double"), F.lit(0.0))).alias("value"), F.when(~numeric, F.col("event_type")).alias("event_type"))
     props = F.coalesce(F.from_json("props", "map<string,bigint>"), F.create_map().cast("map<string,bigint>"))
@@ -198,7 +214,7 @@ def event_timestamp_fmt(spark, d):
 
 @query("SELECT event_id, (epoch_us(ts) // 1000000 - 3600 * ((event_id % 25) - 12) - 60 * CASE WHEN event_id % 25 >= 12 THEN 30 ELSE -30 END)::BIGINT AS seconds, ((event_id * 37) % 1000 * 1000000)::BIGINT AS nanos FROM events")
 def event_timestamp_parse(spark, d):
-    x = read(spark, d, "events")
+    x = wide(spark, d, "events", "event_id", "ts")
     h = F.col("event_id") % 25 - 12
     zone = F.concat(F.when(h >= 0, "+").otherwise("-"), F.lpad(F.abs(h).cast("string"), 2, "0"), F.lit(":30"))
     text = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit("."), F.lpad((F.col("event_id") * 37 % 1000).cast("string"), 3, "0"), zone)
@@ -259,6 +275,49 @@ def wrapper_nulls(spark, d):
     return got.select("doc_id", F.nullif(F.col("message.value"), F.lit(0)).cast("bigint").alias("wrapped"), F.hex("raw").alias("raw"))
 
 
+#: For each wrapper: what a third of the rows hold (the others hold null and the default), for Spark and for SQL.
+_WRAPPED = {
+    "BoolValue": "TRUE", "Int32Value": "-CAST(c_custkey AS INT)", "Int64Value": "c_custkey * -1000000007", "UInt32Value": "c_custkey * 7", "UInt64Value": "CAST(c_custkey AS DECIMAL(20,0)) * 4000000007",
+    "FloatValue": "CAST(c_custkey % 1000 AS FLOAT) / 2", "DoubleValue": "CAST(c_custkey AS DOUBLE) / 4", "StringValue": "c_name", "BytesValue": "encode(c_name)",
+}
+
+
+def _wrapper_sql(name: str) -> str:
+    kind, x = wkt.WRAPPERS[name], _WRAPPED[name]
+    zero = {"bool": "FALSE", "string": "''", "bytes": "encode('')", "float": "CAST(0 AS FLOAT)", "double": "CAST(0 AS DOUBLE)"}.get(kind, "0")
+    size = {"bool": "1", "float": "4", "double": "8"}.get(kind)
+    number = UNSIGNED.format(f"({x})")
+    inner = f"1 + {size}" if size else f"1 + {sql_len(number)}" if kind not in ("string", "bytes") else f"1 + {sql_len('octet_length(encode(c_name))')} + octet_length(encode(c_name))"
+    text = "'0801'" if kind == "bool" else "NULL" if size else "'08' || " + sql_varint(number) if kind not in ("string", "bytes") else sql_text(1, "c_name")
+    shown = {"bool": "v::VARCHAR", "float": "round(v::DOUBLE, 3)::VARCHAR", "double": "round(v, 3)::VARCHAR", "bytes": "hex(v)"}.get(kind, "v::VARCHAR")
+    raw = f"CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '1200' ELSE '12' || {sql_varint(f'({inner})::HUGEINT')} || ({text}) END"
+    return f"SELECT c_custkey, {shown} AS v, CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 2 + {inner} END::BIGINT AS n, {raw} AS raw FROM (SELECT *, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN {zero} ELSE {x} END AS v FROM customer)"
+
+
+def _wrapper_query(name: str):
+    kind = wkt.WRAPPERS[name]
+    m = MessageSchema("Row", [S.Field("w", 2, "message", of=wkt.wrapper(name), wrapped=True)])
+    of = m.struct()["w"].dataType
+
+    def run(spark, d):
+        zero = F.lit(bytearray() if kind == "bytes" else "" if kind == "string" else 0).cast(of)
+        full = F.encode("c_name", "UTF-8") if kind == "bytes" else F.expr(_WRAPPED[name]).cast(of)
+        v = F.when(F.col("c_custkey") % 3 == 1, zero).when(F.col("c_custkey") % 3 == 2, full)
+        x = read(spark, d, "customer").select("c_custkey", F.struct(v.alias("w")).alias("m"))
+        got = pb_decode(x.select("c_custkey", E.pb_encode(F.col("m"), m).alias("raw"), E.pb_encoded_len(F.col("m"), m).alias("n")), "raw", m, mode="FAILFAST")
+        v = F.col("message.w")
+        v = F.hex(v) if kind == "bytes" else F.round(v.cast("double"), 3).cast("string") if kind in ("float", "double") else v.cast("string")
+        raw = F.when((F.col("c_custkey") % 3 == 2) & F.lit(kind in ("float", "double")), None).otherwise(F.hex("raw"))
+        return got.select("c_custkey", v.alias("v"), "n", raw.alias("raw"))
+
+    run.__name__ = f"nullable_{to_snake(name)}"
+    return run
+
+
+for _name in wkt.WRAPPERS:
+    query(_wrapper_sql(_name))(_wrapper_query(_name))
+
+
 @query("SELECT c_custkey, c_name, (CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE 7 END)::BIGINT AS c_nationkey FROM customer")
 def merge_last_wins(spark, d):
     a = F.struct("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
@@ -288,6 +347,27 @@ def encoded_len_sum(spark, d):
     return read(spark, d, "nation").select(E.pb_encoded_len(F.struct("n_nationkey", "n_name", "n_regionkey"), S.NATION).alias("n")).agg(F.sum("n").alias("bytes"))
 
 
+_ITEM = f"(CASE WHEN l_partkey <> 0 THEN 1 + {sql_len('l_partkey')} ELSE 0 END + 1 + {sql_len('l_linenumber')} + 9 + (CASE WHEN l_returnflag <> '' THEN 3 ELSE 0 END))"
+
+
+@query(f"""WITH g AS (SELECT l_orderkey AS k, count(*) AS n, sum(1 + {sql_len(_ITEM)} + {_ITEM}) AS items, sum({_ITEM} + 2) AS grouped, sum({sql_len('l_linenumber')}) AS lines,
+  6 AS entries FROM lineitem WHERE l_quantity <> 0 GROUP BY l_orderkey)
+SELECT k AS l_orderkey, (CASE WHEN k <> 0 THEN 1 + {sql_len('k')} ELSE 0 END + items + (1 + {sql_len('lines')} + lines) + grouped + (1 + {sql_len('8 * n')} + 8 * n) + entries + CASE WHEN k % 2 = 0 THEN 1 + {sql_len('k')} ELSE 9 END)::BIGINT AS n, TRUE AS same FROM g""")
+def encoded_len_shapes(spark, d):
+    """Lengths of nested, packed (varint and fixed), group, map and oneof fields, counted without encoding; same: as long as the encoded bytes."""
+    item = MessageSchema("Item", [S.Field("l_partkey", 1, "int64"), S.Field("l_linenumber", 2, "int32"), S.Field("l_quantity", 3, "double"), S.Field("l_returnflag", 4, "string")])
+    m = MessageSchema("Shapes", [
+        S.Field("k", 1, "int64"), S.Field("items", 2, "message", "repeated", of=item), S.Field("lines", 3, "int32", "repeated"), S.Field("grouped", 4, "group", "repeated", of=item), S.Field("prices", 5, "double", "repeated"),
+        S.Field("by_line", 6, "map", key=S.Field("key", 1, "bool"), value=S.Field("value", 2, "int32")), S.Field("even", 7, "int64", oneof="pick"), S.Field("odd", 8, "double", oneof="pick"),
+    ])
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    x = read(spark, d, "lineitem").where("l_quantity <> 0").select("l_orderkey", F.struct(*[F.col(f.name).cast(item.struct()[f.name].dataType).alias(f.name) for f in item.fields]).alias("i"), F.col("l_extendedprice").cast("double").alias("p"))
+    x = x.repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.collect_list("i").alias("items"), F.collect_list("p").alias("prices"))
+    pick = F.struct(F.when(F.col("l_orderkey") % 2 == 0, F.col("l_orderkey")).alias("even"), F.when(F.col("l_orderkey") % 2 != 0, 1.5).alias("odd"))
+    row = F.struct(F.col("l_orderkey").alias("k"), "items", F.transform("items", lambda i: i["l_linenumber"]).alias("lines"), F.col("items").alias("grouped"), "prices", F.create_map(F.lit(True), F.lit(1)).alias("by_line"), pick.alias("pick"))
+    return x.select("l_orderkey", E.pb_encoded_len(row, m).alias("n"), (F.octet_length(E.pb_encode(row, m)) == E.pb_encoded_len(row, m)).alias("same"))
+
+
 @query("SELECT s_suppkey, s_name FROM supplier")
 def delimited_messages(spark, d):
     m = MessageSchema("Supplier", [S.Field("s_suppkey", 1, "int64"), S.Field("s_name", 2, "string")], "tables")
@@ -310,14 +390,14 @@ def wire_field_counts(spark, d):
 
 @query("SELECT doc_id, length(text)::BIGINT AS chars, md5(text) AS digest, lang FROM documents")
 def document_text_roundtrip(spark, d):
-    got = round_trip(read(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"), S.DOCUMENT)
+    got = round_trip(wide(spark, d, "documents", "doc_id", "text", "lang", "source", "n_chars"), S.DOCUMENT)
     return got.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"), "lang")
 
 
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, TRUE AS stable FROM lineitem")
 def roundtrip_stability(spark, d):
     """encode, decode and encode again give the same bytes."""
-    x = packed(read(spark, d, "lineitem"), S.LINEITEM, "l_orderkey", "l_linenumber")
+    x = packed(wide(spark, d, "lineitem", "l_orderkey", *[f.name for f in S.LINEITEM.fields]), S.LINEITEM, "l_orderkey", "l_linenumber")
     got = pb_decode(x, "raw", S.LINEITEM, mode="FAILFAST")
     return got.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), (E.pb_encode(F.col("message"), S.LINEITEM) == F.col("raw")).alias("stable"))
 

@@ -214,7 +214,8 @@ class _File:
             raw = options["default"]
             f.default = raw if f.kind == "enum" or f.kind == "message" else parse_default(f.kind, raw[1:-1] if f.kind == "bytes" else _text(raw) if f.kind == "string" else raw)
         if label == "repeated":
-            f.packed = options["packed"] == "true" if "packed" in options else self.syntax == "proto3" and can_pack(f.kind)
+            said = None if f.kind == "message" else self.syntax == "proto3" and can_pack(f.kind)  # an enum is not yet known as one
+            f.packed = options["packed"] == "true" if "packed" in options else said
             f.doc = doc
         return f
 
@@ -237,8 +238,16 @@ def _resolve(reg: Registry, name: str, package: str, path: str) -> str:
     raise SchemaError(f"unknown type {name}")
 
 
-def compile_protos(sources: dict[str, str], url_domain: str = "", well_known: Registry | None = None) -> Registry:
-    """Registry of the messages, enums and services of .proto texts by file name. Imports must be among them, but for the well-known types."""
+def is_wrapper(name: str) -> bool:
+    from .functions.wkt import PACKAGE, WRAPPERS
+
+    return name.startswith(f"{PACKAGE}.") and name[len(PACKAGE) + 1 :] in WRAPPERS
+
+
+def compile_protos(sources: dict[str, str], url_domain: str = "", well_known: Registry | None = None, wrappers: bool = True) -> Registry:
+    """Registry of the messages, enums and services of .proto texts by file name. Imports must be among them, but for the well-known types.
+
+    wrappers: fields of the wrapper messages (Int32Value, ...) are nullable columns of their values; without it structs."""
     if well_known is None:
         from .functions.wkt import registry
 
@@ -259,10 +268,10 @@ def compile_protos(sources: dict[str, str], url_domain: str = "", well_known: Re
                 f.kind, f.of = "enum", reg.enums[full]
                 if isinstance(f.default, str):
                     f.default = f.of.numbers()[f.default]
-                if f.label == "repeated" and f.packed is False and file.syntax == "proto3":
-                    f.packed = True
+                if f.label == "repeated" and f.packed is None:
+                    f.packed = file.syntax == "proto3"
             else:
-                f.of = full
+                f.of, f.wrapped = full, wrappers and is_wrapper(full)
                 if f.kind == "message" and f.label == "optional":
                     f.label = "plain"
                 f.packed = None
@@ -333,8 +342,11 @@ def descriptor_schema() -> Registry:
     return reg
 
 
-def load_descriptor_set(raw: bytes, extern: dict[str, str] | None = None) -> Registry:
-    """Registry of a FileDescriptorSet. extern: full names (or prefixes) of messages to scalar kinds that stand for them, as optional columns."""
+def load_descriptor_set(raw: bytes, extern: dict[str, str] | None = None, wrappers: bool = True) -> Registry:
+    """Registry of a FileDescriptorSet. extern: full names (or prefixes) of messages of one field 1 to the scalar kinds that stand for
+    them, as nullable columns; on the wire they stay messages. wrappers: so the wrapper messages (Int32Value, ...) too."""
+    from .functions.wkt import PACKAGE, WRAPPERS
+
     files = Parser(descriptor_schema().messages["google.protobuf.FileDescriptorSet"], depth=32).parse(raw)["file"]
     reg, entries, swap = Registry(), {}, PathOptions(extern or {})
     proto3 = {}
@@ -375,10 +387,11 @@ def load_descriptor_set(raw: bytes, extern: dict[str, str] | None = None) -> Reg
             k, v = sorted(entries[name][0]["field"], key=lambda y: y["number"])
             f.kind, f.label, f.key, f.value = "map", "plain", make(d, new, k), make(d, new, v)
             return f
-        if kind == "message" and (scalar := swap.get(name)):
-            f.kind, f.label = scalar, "repeated" if label == "repeated" else "optional"
-            return f
-        if kind in ("message", "group"):
+        scalar = swap.get(name) or (WRAPPERS[name[len(PACKAGE) + 1 :]] if wrappers and is_wrapper(name) else None)
+        if kind == "message" and scalar:
+            own, _, last = name.rpartition(".")
+            f.wrapped, f.of = True, MessageSchema(last, [Field("value", 1, scalar)], own, "type.googleapis.com")
+        elif kind in ("message", "group"):
             f.of = name
         elif kind == "enum":
             f.of = reg.enums[name]

@@ -80,7 +80,8 @@ class EnumSchema:
 @dataclass
 class Field:
     """label: plain (default is not sent), optional, required or repeated. `of`: the message or enum, or its full name
-    in the registry. A map has kind "map" with key and value fields numbered 1 and 2."""
+    in the registry. A map has kind "map" with key and value fields numbered 1 and 2. wrapped: a message of one field, value,
+    that is a nullable column of that field's type; on the wire it stays a message."""
 
     name: str
     number: int | None
@@ -93,6 +94,7 @@ class Field:
     key: Field | None = None
     value: Field | None = None
     doc: str = ""
+    wrapped: bool = False
 
     def is_packed(self) -> bool:
         return self.label == "repeated" and can_pack(self.kind) and self.packed is not False
@@ -196,6 +198,8 @@ class MessageSchema:
             return T.MapType(self.field_type(f.key, depth, above), self.field_type(f.value, depth, above), False)
         if f.kind in ("message", "group"):
             m = self.message(f)
+            if f.wrapped:
+                return SPARK_TYPES[m.fields[0].kind]
             return T.BinaryType() if above.count(m.full_name) > depth else m.struct(depth, above)
         return SPARK_TYPES[f.kind]
 

@@ -101,11 +101,33 @@ def test_error_texts(text):
     assert str(e.value) == "failed to decode Protobuf message: " + want
 
 
-def test_inner_length_and_paths():
+#: A nested field is read against the end of all bytes; where it ends tells whether it ran past its own message.
+OVERRUN = {
+    "22031205411A0461626364": "One.sub: delimited length exceeded", "220208FF0801": "One.sub: delimited length exceeded", "2203120541": "Sub.y: One.sub: buffer underflow",
+    "220208FF": "Sub.x: One.sub: invalid varint", "2205": "One.sub: buffer underflow", "22": "One.sub: invalid varint",
+}
+
+
+@pytest.mark.parametrize("text", OVERRUN)
+def test_inner_length_and_paths(text):
+    with pytest.raises(DecodeError) as e:
+        Parser(ONE).parse(bytes.fromhex(text))
+    assert str(e.value) == "failed to decode Protobuf message: " + OVERRUN[text]
+
+
+@pytest.mark.parametrize("text", ["0B1020", "0B"])
+def test_truncated_groups(text):
     with pytest.raises(DecodeError) as e:
-        Parser(ONE).parse(bytes.fromhex("2203120541"))
-    assert "delimited length exceeded" in str(e.value) or "buffer underflow" in str(e.value)
-    assert "Sub.y: One.sub: " in str(e.value)
+        Parser(TEST1).parse(bytes.fromhex(text))
+    assert str(e.value) == "failed to decode Protobuf message: Test1.groupa: invalid varint"
+
+
+def test_packed_overrun():
+    m = MessageSchema("P", [Field("v", 1, "int32", "repeated"), Field("f", 2, "fixed32", "repeated")])
+    for text, want in (("0A01FF01", "P.v: delimited length exceeded"), ("12050000000000000000", "P.f: delimited length exceeded"), ("1203000000", "P.f: buffer underflow"), ("0A0501", "P.v: buffer underflow")):
+        with pytest.raises(DecodeError) as e:
+            Parser(m).parse(bytes.fromhex(text))
+        assert str(e.value) == "failed to decode Protobuf message: " + want
 
 
 def nested(depth):
@@ -128,6 +150,23 @@ def test_recursion_limit_and_unrolling(spark):
     r = got.first()["message"]
     assert isinstance(r["a"]["a"]["a"], (bytes, bytearray))  # below the unrolled levels the bytes stay
     assert bytes(got.select(E.pb_encode(F.col("message"), a, 2).alias("x")).first()["x"]) == nested(6)
+    # what is kept as bytes is checked all the same: depth, and bytes that are no message
+    bad = {bytes(nested(101)): "recursion limit reached", b"\x0a\x08\x0a\x06\x0a\x04\x0a\x02\x10\xff": "invalid varint", bytes(nested(100)): None}
+    df = spark.createDataFrame([(bytearray(k),) for k in bad], "raw binary")
+    for depth in (1, 3):
+        for r in pb_decode(df, "raw", a, depth=depth).collect():
+            want = bad[bytes(r["raw"])]
+            assert (r["message_error"] or "").endswith(want or "") and (want is None) == (r["message_error"] is None) == (r["message"] is not None)
+
+
+def test_recursive_oneof_and_group_limits():
+    reg = Registry()
+    m = reg.add(MessageSchema("M", [Field("sub", 1, "message", of="M", oneof="kind"), Field("n", 2, "int32", oneof="kind"), Field("g", 3, "group", of="M")], registry=reg))
+    Parser(m).parse(nested(100))
+    Parser(m).parse(b"\x1b" * 100 + b"\x1c" * 100)
+    for raw in (nested(101), b"\x1b" * 101 + b"\x1c" * 101):
+        with pytest.raises(DecodeError, match="recursion limit reached"):
+            Parser(m).parse(raw)
 
 
 def test_start_group_bomb():
@@ -229,7 +268,7 @@ def test_descriptor_set_against_runtime():
     k.value.add(name="K0", number=0)
     r = load_descriptor_set(pb.FileDescriptorSet(file=[f]).SerializeToString(), extern={".google.protobuf.Int32Value": "int32"})
     by = {x.name: x for x in r.messages["t.M"].fields}
-    assert by["xs"].is_packed() and by["w"].kind == "int32" and by["w"].label == "optional" and by["mm"].kind == "map" and by["k"].of.name == "K"
+    assert by["xs"].is_packed() and by["w"].wrapped and r.messages["t.M"].message(by["w"]).fields[0].kind == "int32" and by["mm"].kind == "map" and by["k"].of.name == "K"
 
 
 STAMPS = {(0, 123450000): "1970-01-01T00:00:00.123450Z", (-1, 500000000): "1969-12-31T23:59:59.500Z", ((1 << 63) - 1, 0): "+292277026596-12-04T15:30:07Z", (-62167219201, 0): "-0001-12-31T23:59:59Z", (0, 0): "1970-01-01T00:00:00Z"}
