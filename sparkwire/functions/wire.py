@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,24 +126,45 @@ def truncate32(x: Column) -> Column:
     return F.shiftright(F.shiftleft(x.cast("bigint"), 32), 32).cast("int")
 
 
-def _swap(h: Column, n: int) -> Column:
-    return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(n - 1, -1, -1)])
+def _static(name: str, method: str, x: Column, of: str, gives: str) -> Column | None:
+    """A static method of java.lang as a column, in generated code; None where expressions can't be made from here (Spark Connect)."""
+    try:
+        jvm = SparkContext._active_spark_context._jvm
+        made = jvm.org.apache.spark.sql.classic.ExpressionUtils
+        types = [getattr(getattr(jvm.org.apache.spark.sql.types, f"{t}Type$"), "MODULE$") for t in (of, gives)]
+        call = jvm.org.apache.spark.sql.catalyst.expressions.objects.StaticInvoke
+        args, kinds = jvm.PythonUtils.toSeq([made.expression(x._jc)]), jvm.PythonUtils.toSeq(types[:1])
+        return Column(made.column(call(jvm.java.lang.Class.forName(f"java.lang.{name}"), types[1], method, args, kinds, True, True, True, jvm.scala.Option.empty())))
+    except (AttributeError, TypeError, Py4JError):
+        return None
+
+
+def _little(x: Column, n: int) -> Column:
+    """The low n bytes (4 or 8) of a bigint, lowest first."""
+    turned = _static("Long", "reverseBytes", x, "Long", "Long")
+    if turned is not None:
+        text = F.lpad(F.hex(turned), 16, "0")
+        return text if n == 8 else F.substring(text, 1, 8)
+    text = F.lpad(F.hex(x if n == 8 else x.bitwiseAND(F.lit(0xFFFFFFFF))), 2 * n, "0")
+    return F.concat(*[F.substring(text, 2 * i + 1, 2) for i in range(n - 1, -1, -1)])
 
 
 def fixed32_hex(x: Column) -> Column:
-    return _swap(F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"), 4)
+    return _little(x.cast("bigint"), 4)
 
 
 def fixed64_hex(x: Column) -> Column:
-    return _swap(F.lpad(F.hex(x.cast("bigint")), 16, "0"), 8)
+    return _little(x.cast("bigint"), 8)
 
 
 def float_bits(x: Column) -> Column:
-    return F.reflect(F.lit("java.lang.Float"), F.lit("floatToRawIntBits"), x).cast("bigint")
+    bits = _static("Float", "floatToRawIntBits", x, "Float", "Integer")
+    return (F.reflect(F.lit("java.lang.Float"), F.lit("floatToRawIntBits"), x) if bits is None else bits).cast("bigint")
 
 
 def double_bits(x: Column) -> Column:
-    return F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), x).cast("bigint")
+    bits = _static("Double", "doubleToRawLongBits", x, "Double", "Long")
+    return F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), x).cast("bigint") if bits is None else bits
 
 
 def scalar_hex(kind: str, x: Column) -> Column:
