@@ -58,7 +58,7 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[in
     return {k: v for k, v in flow.items() if v}
 
 
-def reshard(rows: DataFrame, old: Column, n_new: int, size_col: str = "size", key_cols: tuple[str, ...] = ("doc_id",), capacities: list[int] | None = None, block_bytes: int = 64 << 20, most_blocks: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+def reshard(rows: DataFrame, old: Column, n_new: int, size_col: str = "size", key_cols: tuple[str, ...] = ("doc_id",), capacities: list[int] | None = None, block_bytes: int = 8 << 20, most_blocks: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
     """(rows with old_shard, shard and slot; transfers (old_shard, shard, bytes, moved)).
 
     `old` gives each row's old shard, an int in 0 .. n_old - 1 (null: 0); the old shard i is the new shard i where
@@ -140,17 +140,17 @@ def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
 def rewrite(placed: DataFrame, transfers: DataFrame, path: str, rows_per_file: int = 1 << 20) -> list[int]:
     """Write the affected shards of a layout anew, in slot order, and give their numbers; files of other shards stay as they are.
 
-    Files go to a new folder path/vN, in ranges of rows_per_file slots, and a manifest in path/_manifest names the folder of every
+    Files go to a new folder path/vN, of at most rows_per_file rows, and a manifest in path/_manifest names the folder of every
     shard from then on: it comes last and is one file, so that a job that dies leaves the old layout whole, and rows may be read
     from the layout that is rewritten. Where there is no layout yet all shards are written. Shards that rows have left for good
-    are dropped from the manifest; old files are never deleted.
+    are dropped from the manifest; old files are never deleted. Rows are not shuffled: reshard() leaves blocks together, each a run
+    of slots of one shard or two, so a task writes few files. Rows from elsewhere should come in few shards a task.
     """
     spark = placed.sparkSession
     version, folders = _manifest(spark, path)
     hit, folder = affected(transfers), f"v{version + 1}"
     new = placed if version < 0 else placed.where(F.col("shard").isin(hit))
-    piece = F.floor(F.col("slot") / rows_per_file)
-    new.repartition(F.col("shard"), piece).sortWithinPartitions("shard", "slot").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(f"{path}/{folder}")
+    new.sortWithinPartitions("shard", "slot").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(f"{path}/{folder}")
     try:
         written = [r[0] for r in spark.read.parquet(f"{path}/{folder}").select("shard").distinct().collect()]
     except AnalysisException:  # no rows
