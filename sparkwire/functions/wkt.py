@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -218,50 +215,58 @@ def duration_parse(text: Column) -> Column:
     return F.when(text.rlike(r"\A-?[0-9]+(\.[0-9]+)?s\z") & s.isNotNull(), _pair(s, n * sign))
 
 
-_STAMP = re.compile(
-    r"(?P<y>\+[0-9]{5,}|-[0-9]{4,}|[0-9]{4})-(?P<mo>[0-9]{2})-(?P<d>[0-9]{2})"
-    r"(?:[Tt ](?P<h>[0-9]{2}):(?P<mi>[0-9]{2}):(?P<s>[0-9]{2})(?:\.(?P<f>[0-9]+))?"
-    r"(?: ?(?P<z>[Zz]|[+-](?P<oh>[0-9]{2})(?::?(?P<om>[0-9]{2}))?))?)?\Z",
-    re.ASCII,
+#: Texts of what is wrong.
+BAD_TIMESTAMP, BAD_DATE, BAD_DURATION = "failed to parse RFC-3339 formatted timestamp", "invalid date or time", "failed to parse duration"
+NEGATIVE_DURATION, DURATION_RANGE = "failed to convert negative duration", "failed to convert duration out of range"
+
+#: Year, month, day, hour, minute, second, fraction, zone, its hours and minutes.
+_STAMP = (
+    r"^([+][0-9]{5,}|-[0-9]{4,}|[0-9]{4})-([0-9]{2})-([0-9]{2})"
+    r"(?:[Tt ]([0-9]{2}):([0-9]{2}):([0-9]{2})(?:[.]([0-9]+))?(?: ?([Zz]|[+-]([0-9]{2})(?::?([0-9]{2}))?))?)?$"
 )
 
 
-def parse_timestamp(text: str | None) -> tuple[int, int] | None:
-    """(seconds, nanos) of an RFC 3339 text or a wider form: a date alone, signed long years, a blank as separator, no offset, ±HH, ±HHMM.
-
-    A second of 60 reads as 59. None if it does not parse or the time does not exist."""
-    m = _STAMP.match(text or "")
-    if not m:
-        return None
-    y, mo, d = int(m["y"]), int(m["mo"]), int(m["d"])
-    h, mi, s = (int(m[k] or 0) for k in ("h", "mi", "s"))
-    oh, om = int(m["oh"] or 0), int(m["om"] or 0)
-    leap = y % 4 == 0 and (y % 100 != 0 or y % 400 == 0)
-    if not 1 <= mo <= 12 or not 1 <= d <= (31, 29 if leap else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[mo - 1]:
-        return None
-    s = min(s, 59) if s == 60 else s
-    if h > 23 or mi > 59 or s > 59 or oh > 23 or om > 59:
-        return None
-    nanos = int((m["f"] or "0")[:9].ljust(9, "0"))
-    yy = y - (mo <= 2)
-    era, yoe = yy // 400, yy % 400
-    doy = (153 * ((mo + 9) % 12) + 2) // 5 + d - 1
-    total = (era * 146097 + yoe * 365 + yoe // 4 - yoe // 100 + doy - 719468) * 86400 + h * 3600 + mi * 60 + s
-    offset = (oh * 3600 + om * 60) * (-1 if (m["z"] or "").startswith("-") else 1)
-    total -= offset
-    return (total, nanos) if MIN64 <= total <= MAX64 else None
+def _stamp_parts(text: Column) -> Column:
+    """The ten parts of a timestamp's text; null where it has another form. A line break at the end is no part of it."""
+    fits = text.rlike(_STAMP) & ~F.contains(text, F.lit("\n"))
+    return F.when(fits, F.split(F.regexp_replace(text, _STAMP, "|".join(f"${i}" for i in range(1, 11))), r"\|"))
+
+
+def _stamp(p: Column) -> Column:
+    """(seconds, nanos) of the parts; null if there is no such time, or none within a bigint's seconds."""
+
+    def number(i: int) -> Column:
+        return F.coalesce(F.when(p[i] != "", p[i]).try_cast("bigint"), F.lit(0).cast("bigint"))
+
+    year = p[0].try_cast("decimal(38,0)")
+    near = F.abs(year) < 300_000_000_000
+    y, mo, d, s = F.when(near, year).cast("bigint"), number(1), number(2), number(5)
+    late = F.when(s == 60, F.lit(59).cast("bigint")).otherwise(s)
+    ok = mo.between(1, 12) & (d >= 1) & (d <= days_in_month(y, mo)) & number(3).between(0, 23) & number(4).between(0, 59) & (late <= 59) & (number(8) <= 23) & (number(9) <= 59)
+    shift = (number(8) * 3600 + number(9) * 60) * F.when(F.startswith(p[7], F.lit("-")), -1).otherwise(1)
+    total = days_from_civil(y, mo, d).cast("decimal(38,0)") * 86400 + (number(3) * 3600 + number(4) * 60 + late - shift)
+    return F.when(ok, let(total, lambda t: F.when(t.between(MIN64, MAX64), _pair(t.cast("bigint"), F.rpad(F.substring(p[6], 1, 9), 9, "0").cast("int")))))
 
 
 def timestamp_parse(text: Column) -> Column:
-    """struct<seconds, nanos> of texts, in Arrow batches; null if a text does not parse."""
+    """struct<seconds, nanos> of RFC 3339 texts and wider forms: a date alone, signed long years, a blank as separator, no offset,
+    ±HH, ±HHMM. A second of 60 reads as 59. Null if a text does not parse or the time does not exist."""
+    return let(_stamp_parts(text), lambda p: F.when(p.isNotNull(), _stamp(p)))
+
+
+def timestamp_error(text: Column) -> Column:
+    """What is wrong with a timestamp's text; null if it parses or is null. A date or time that does not exist does not parse."""
+    return F.when(text.isNotNull() & timestamp_parse(text).isNull(), BAD_TIMESTAMP)
 
-    @F.pandas_udf("seconds long, nanos int")
-    def parse(texts: pd.Series) -> pd.DataFrame:
-        got = [parse_timestamp(t) for t in texts]
-        return pd.DataFrame({"seconds": pd.array([g[0] if g else None for g in got], dtype="Int64"), "nanos": pd.array([g[1] if g else None for g in got], dtype="Int32")})
 
-    x = parse(text)
-    return F.when(x["seconds"].isNotNull(), x)
+def date_time_error(ts: Column) -> Column:
+    """What is wrong with the parts of a date: of a timestamp_of() that gave none."""
+    return F.when(ts.isNull(), BAD_DATE)
+
+
+def duration_error(text: Column) -> Column:
+    """What is wrong with a duration's text; null if it parses or is null."""
+    return F.when(text.isNotNull() & duration_parse(text).isNull(), BAD_DURATION)
 
 
 def to_spark_timestamp(ts: Column) -> Column:
@@ -280,6 +285,19 @@ def to_interval(d: Column) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), t["seconds"].cast("decimal(18,6)") + (tdiv(t["nanos"].cast("bigint"), 1000)).cast("decimal(18,6)") / 1_000_000)
 
 
+def from_interval(x: Column) -> Column:
+    """A Duration of a day-time interval."""
+    epoch = F.timestamp_micros(F.lit(0))
+    us = F.unix_micros(epoch + x)
+    return _pair(tdiv(us, 1_000_000), us % 1_000_000 * 1000)
+
+
+def interval_error(d: Column) -> Column:
+    """Why a Duration has no counterpart that cannot be negative; null if it has one."""
+    t = duration_normalize(d)
+    return F.when((t["seconds"] < 0) | (t["nanos"] < 0), F.concat(F.lit(NEGATIVE_DURATION + ": "), F.ltrim(duration_format(d), F.lit("-"))))
+
+
 # ------------------------------------------------------------------ Any
 
 

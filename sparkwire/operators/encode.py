@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.wire import key_hex, key_len, let, scalar_hex, scalar_len, varint_hex, varint_len
+from ..functions.wire import key_hex, key_len, let, scalar_hex, scalar_len, varint_hex, varint_len, varint_value
 from ..schema import EnumSchema, Field, MessageSchema, wire_type
 
 FIXED_SIZES = {"bool": 1, "fixed32": 4, "sfixed32": 4, "float": 4, "fixed64": 8, "sfixed64": 8, "double": 8}
@@ -144,6 +144,21 @@ def pb_encoded_len(x: Column, m: MessageSchema, depth: int = 3) -> Column:
     return F.when(x.isNotNull(), body_len(m, x, (), depth).cast("bigint"))
 
 
+def pb_unframe(raw: Column) -> Column:
+    """The message of a length-delimited BINARY; null where its length is no varint or goes beyond the bytes."""
+
+    def body(n: Column) -> Column:
+        head = varint_len(n)
+        return F.when((n >= 0) & (n <= F.octet_length(raw) - head), F.substr(raw, (head + 1).cast("int"), n.cast("int")))
+
+    return let(varint_value(raw), body)
+
+
+def pb_merge_delimited(a: Column, framed: Column) -> Column:
+    """Bytes whose message is a merged with the length-delimited second; null where that one has no frame."""
+    return F.concat(F.coalesce(a, F.lit(b"")), pb_unframe(framed))
+
+
 def pb_default(m: MessageSchema) -> Column:
     """The message of defaults, as a struct literal."""
 

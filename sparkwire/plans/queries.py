@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import wire, wkt
+from ..functions import structs, wire, wkt
 from ..operators import encode as E
+from ..operators.debug import pb_debug
 from ..operators.decode import pb_decode, pb_merge, pb_merge_agg, wire_fields
 from ..schema import MessageSchema, to_snake
+from ..sources import delimited
 from . import tables as S
 
 QUERIES: dict = {}
@@ -402,6 +406,88 @@ def roundtrip_stability(spark, d):
     return got.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), (E.pb_encode(F.col("message"), S.LINEITEM) == F.col("raw")).alias("stable"))
 
 
+@query("SELECT n_nationkey, 'Nation { n_nationkey: ' || n_nationkey || ', n_name: \"' || n_name || '\", n_regionkey: ' || n_regionkey || ' }' AS shown FROM nation")
+def debug_text(spark, d):
+    return read(spark, d, "nation").select("n_nationkey", pb_debug(F.struct("n_nationkey", "n_name", "n_regionkey"), S.NATION).alias("shown"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::DOUBLE AS k, len(json_keys(props))::BIGINT AS n, event_type AS kind, TRUE AS deep FROM events")
+def struct_json(spark, d):
+    """JSON to the bytes of a Struct and back, as text and as VARIANT, with lists and structs inside each other."""
+    x = wide(spark, d, "events", "event_id", "event_type", "props")
+    text = F.concat(F.lit('{"props":'), F.col("props"), F.lit(',"deep":[[[[[{"x":null,"kind":"'), F.col("event_type"), F.lit('"}]]]]],"yes":true}'))
+    x = x.select("event_id", structs.json_to_struct(text).alias("raw")).select("event_id", structs.struct_to_json(F.col("raw")).alias("text"), structs.struct_to_variant(F.col("raw")).alias("v"))
+    n = F.size(F.json_object_keys(F.get_json_object("text", "$.props"))).cast("bigint")
+    return x.select("event_id", F.try_variant_get("v", "$.props.k", "double").alias("k"), n.alias("n"), F.try_variant_get("v", "$.deep[0][0][0][0][0].kind", "string").alias("kind"), F.try_variant_get("v", "$.yes", "boolean").alias("deep"))
+
+
+@query("SELECT n_regionkey AS r, n_nationkey AS k, n_name AS name FROM nation")
+def payload_explode(spark, d):
+    """Containers with a list of encoded messages: decoded, exploded and decoded again."""
+    m = MessageSchema("Dataset", [S.Field("name", 1, "string"), S.Field("message_name", 2, "string"), S.Field("payload", 3, "bytes", "repeated")])
+    x = packed(read(spark, d, "nation"), S.NATION, "n_regionkey").groupBy("n_regionkey").agg(F.collect_list("raw").alias("payload"))
+    x = x.select(F.struct(F.col("n_regionkey").cast("string").alias("name"), F.lit(S.NATION.full_name).alias("message_name"), "payload").alias("m"))
+    got = pb_decode(x.select(E.pb_encode(F.col("m"), m).alias("raw")), "raw", m, out="box", mode="FAILFAST")
+    got = pb_decode(got.select("box.name", F.explode("box.payload").alias("raw")), "raw", S.NATION, mode="FAILFAST")
+    return got.select(F.col("name").cast("bigint").alias("r"), F.col("message.n_nationkey").alias("k"), F.col("message.n_name").alias("name"))
+
+
+@query("SELECT c_custkey, c_name, (CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE 7 END)::BIGINT AS c_nationkey FROM customer")
+def merge_delimited(spark, d):
+    a = F.struct("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    patch = MessageSchema("Patch", [S.Field("c_nationkey", 3, "int32", "optional")], "tables")
+    framed = E.pb_encode_delimited(F.struct(F.when(F.col("c_custkey") % 2 == 1, 7).alias("c_nationkey")), patch)
+    x = read(spark, d, "customer").select(E.pb_merge_delimited(E.pb_encode(a, S.CUSTOMER), framed).alias("raw"))
+    return pb_decode(x, "raw", S.CUSTOMER, mode="FAILFAST").select("message.c_custkey", "message.c_name", F.col("message.c_nationkey").cast("bigint").alias("c_nationkey"))
+
+
+@query("SELECT event_id, (event_id * 1234567 // 1000000)::BIGINT AS seconds, (event_id * 1234567 % 1000000 * 1000)::BIGINT AS nanos, CASE event_id % 4 WHEN 0 THEN 'failed to parse RFC-3339 formatted timestamp' WHEN 1 THEN 'failed to parse RFC-3339 formatted timestamp' END AS stamp, CASE WHEN event_id % 3 = 0 THEN 'failed to parse duration' END AS span, CASE WHEN event_id % 2 = 1 THEN 'failed to convert negative duration: ' || event_id || 's' END AS negative FROM events")
+def interval_and_parse_errors(spark, d):
+    """Intervals as Durations, and what is wrong with texts as data."""
+    k = F.col("event_id")
+    span = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (k * 1234567).cast("decimal(18,6)") / 1_000_000)
+    stamp = F.element_at(F.array(F.lit("2021-02-30T00:00:00Z"), F.lit("yesterday"), F.lit("2020-06-15"), F.lit("2020-06-15T23:59:60+01:30")), (k % 4 + 1).cast("int"))
+    d_ = wkt.from_interval(span)
+    length = wkt._pair(F.when(k % 2 == 1, -k).otherwise(k), F.lit(0))
+    text = F.when(k % 3 == 0, F.lit("1.5")).otherwise(F.concat(k.cast("string"), F.lit("s")))
+    x = read(spark, d, "events").select("event_id", d_.alias("d"), wkt.timestamp_error(stamp).alias("stamp"), wkt.duration_error(text).alias("span"), wkt.interval_error(length).alias("negative"))
+    return x.select("event_id", "d.seconds", F.col("d.nanos").cast("bigint").alias("nanos"), "stamp", "span", "negative")
+
+
+@query("SELECT s_suppkey, s_name, 2::BIGINT AS copies FROM supplier")
+def delimited_frames(spark, d):
+    """Files of framed messages, written to the shared folder with both kinds of frame and read again."""
+    m = MessageSchema("Supplier", [S.Field("s_suppkey", 1, "int64"), S.Field("s_name", 2, "string")], "tables")
+    x = read(spark, d, "supplier").select(E.pb_encode(F.struct("s_suppkey", "s_name"), m).alias("raw"))
+    parts = []
+    for frame in delimited.FRAMES:
+        path = f"{delimited.scratch(spark)}/frames-{uuid.uuid4().hex}"
+        delimited.write_delimited(x, "raw", path, frame)
+        parts.append(delimited.read_delimited(spark, path, m, frame, mode="FAILFAST").select("message.s_suppkey", "message.s_name"))
+    return parts[0].union(parts[1]).groupBy("s_suppkey", "s_name").agg(F.count(F.lit(1)).alias("copies"))
+
+
+#: The schemas of tables.py, told once more: (message, number, field, kind, label).
+SCHEMA_SQL = "SELECT message, field, number::BIGINT AS number, kind, label FROM (VALUES " + ", ".join(
+    f"('tables.{m}', '{f}', {n}, '{k}', '{label}')"
+    for m, fields in {
+        "Region": "r_regionkey int32, r_name string", "Nation": "n_nationkey int32, n_name string, n_regionkey int32",
+        "Customer": "c_custkey int64, c_name string, c_nationkey int32, c_acctbal double, c_mktsegment string",
+        "Turn": "turn int64, role string, text string", "Document": "doc_id int64, text string, lang string, source string, n_chars int64",
+        "Conversation": "conv_id int64, turns message repeated", "Embedding": "vec_id int64, embedding float repeated, label int32", "Optional": "doc_id int64, quality int32 optional, toxic int32 optional",
+        "Grouped": "key int64, item group",
+    }.items()
+    for n, (f, k, label) in enumerate([(*x.split(), "plain")[:3] for x in fields.split(", ")], 1)
+) + ") t(message, field, number, kind, label)"
+
+
+@query(SCHEMA_SQL)
+def schema_fields(spark, d):
+    names = ["Region", "Nation", "Customer", "Turn", "Document", "Conversation", "Embedding", "Optional", "Grouped"]
+    x = S.TABLES.to_df(spark).where(F.col("message").isin([f"tables.{n}" for n in names]))
+    return x.select("message", "field", F.col("number").cast("bigint").alias("number"), "kind", "label")
+
+
 @query()
 def schema_rows(spark, d):
     return S.TABLES.to_df(spark)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -68,6 +69,14 @@ def read_delimited(spark: SparkSession, path: str, m: MessageSchema | None = Non
     return rows if m is None else pb_decode(rows, "raw", m, mode=mode, fields=fields)
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; a new local one where it is unset on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return root.rstrip("/") if root else "file://" + tempfile.mkdtemp(prefix="sparkwire-")
+
+
 def write_delimited(df: DataFrame, col: str, path: str, frame: str = "varint") -> None:
     """One file for each partition, of the column's messages end to end; null messages are left out."""
     df.sparkSession.dataSource.register(DelimitedSource)
