@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import structs, wire, wkt
+from ..functions import sql, structs, wire, wkt
 from ..operators import encode as E
 from ..operators.debug import pb_debug
 from ..operators.decode import pb_decode, pb_merge, pb_merge_agg, wire_fields
@@ -19,11 +19,11 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(text: str | None = None):
     def put(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
+        if text:
+            ORACLE[f.__name__] = text
         return f
 
     return put
@@ -421,6 +421,15 @@ def struct_json(spark, d):
     return x.select("event_id", F.try_variant_get("v", "$.props.k", "double").alias("k"), n.alias("n"), F.try_variant_get("v", "$.deep[0][0][0][0][0].kind", "string").alias("kind"), F.try_variant_get("v", "$.yes", "boolean").alias("deep"))
 
 
+@query(f"SELECT c_custkey, c_name, {sql_varint('(c_custkey * 1000003)::HUGEINT')} AS v, {sql_len('c_custkey * 1000003')}::BIGINT AS n, (-c_custkey)::BIGINT AS back FROM customer")
+def sql_functions(spark, d):
+    """Functions by name in SQL text."""
+    sql.register_functions(spark, S.CUSTOMER)
+    packed(read(spark, d, "customer"), S.CUSTOMER, "c_custkey").createOrReplaceTempView("sparkwire_customers")
+    return spark.sql("""SELECT c_custkey, pb_decode_customer(raw).c_name AS c_name, hex(pb_varint(c_custkey * 1000003)) AS v,
+        CAST(pb_varint_len(c_custkey * 1000003) AS BIGINT) AS n, pb_unzigzag(pb_zigzag(-c_custkey)) AS back FROM sparkwire_customers""")
+
+
 @query("SELECT n_regionkey AS r, n_nationkey AS k, n_name AS name FROM nation")
 def payload_explode(spark, d):
     """Containers with a list of encoded messages: decoded, exploded and decoded again."""

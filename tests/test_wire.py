@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkwire.functions import structs, wire, wkt
+from sparkwire.functions.sql import register_functions
 from sparkwire.operators import encode as E
 from sparkwire.operators.debug import pb_debug
 from sparkwire.operators.decode import LIMIT, DecodeError, Parser, pb_decode, pb_merge, read_key, read_varint, skip, wire_fields
@@ -343,6 +344,16 @@ def test_structs_and_json(spark):
     assert spark.range(1).select(structs.json_to_struct(F.lit('{"a":1}'))).first()[0] == want
 
 
+def test_functions_in_sql_text(spark):
+    names = register_functions(spark, TEST1)
+    assert names[-1] == "pb_decode_test1"
+    for value, text in GOLDEN.items():
+        v = value - (1 << 64) if value >> 63 else value
+        assert tuple(spark.sql(f"SELECT hex(pb_varint({v}L)), pb_varint_len({v}L), pb_unzigzag(pb_zigzag({v}L))").first()) == (text, len(text) // 2, v)
+    got = spark.sql("SELECT pb_decode_test1(unhex(h)) AS m FROM VALUES ('0B10200C'), ('0B1020'), (NULL) t(h)").collect()
+    assert [r["m"] and r["m"]["groupa"]["i2"] for r in got] == [32, None, None]
+
+
 def test_unframe_and_merge(spark):
     df = spark.createDataFrame([(bytearray.fromhex(h),) for h in ("020801", "00", "0308", "80", "", "0208010801")], "raw binary")
     got = [None if r[0] is None else bytes(r[0]).hex() for r in df.select(E.pb_unframe(F.col("raw"))).collect()]
