@@ -67,6 +67,32 @@ def test_toxicity_learns_and_calibrates(spark):
     assert none.score(queries.ann.pa.array(["a", None]))[0] == 0.5
 
 
+def test_toxicity_score_of_plain_windows():
+    """The classifier's forward pass word by word, window by window, in plain Python."""
+    s = toxicity.Settings(buckets=1 << 10, dim=4, filters=3, epochs=2)
+    rng = random.Random(3)
+    t = [prose(rng.randint(1, 30), rng) + (" wretch" if k % 3 == 0 else "") for k in range(80)]
+    m = toxicity.fit(t, np.array([k % 3 == 0 for k in range(80)]), ["en"] * 80, s)
+    odd = [*t[:20], "", " \n..", "one", "Zwölf ÉTÉ x9", "a-b_c", "x " * 300]
+    got = m.score(queries.ann.pa.array(odd))
+    for text, score in zip(odd, got, strict=True):
+        ids, _, _ = toxicity.words(queries.ann.pa.array([text]), s)
+        vec = [sum(m.emb[k][ids[k][i]].astype(float) for k in range(3)) for i in range(ids.shape[1])]
+        total, slot = float(m.out_bias), 0
+        for i, w in enumerate(s.widths):
+            for f in range(s.filters):
+                best = 0.0  # pooled responses below zero count as zero
+                for at in range(len(vec)):
+                    z = float(m.bias[i * s.filters + f]) + sum(float(vec[at + k] @ m.conv[:, (slot + k) * s.filters + f]) for k in range(w) if at + k < len(vec))
+                    best = max(best, z)
+                total += best * float(m.out[i * s.filters + f])
+            slot += w
+        assert abs(1 / (1 + np.exp(-np.clip(m.scale * total + m.shift, -40, 40))) - score) < 1e-4, text
+    # words are runs of letters, digits and non-ASCII bytes, of either case
+    a, b = (toxicity.words(queries.ann.pa.array([x]), s)[0] for x in ("Wretch, wretch! x", "wretch;WRETCH x"))
+    assert (a == b).all() and a.shape[1] == 3 and (a[:, 0] == a[:, 1]).all()
+
+
 def test_toxicity_scores_do_not_depend_on_the_sample(spark):
     """One toxic text in ten, known by a word of which a tenth of the clean have one too: a sample of as many of each keeps the share."""
     rng = random.Random(6)
@@ -264,6 +290,45 @@ def test_best_two_fit_beats_nothing_away():
     assert sorted(packing.best_two_fit(counts, 100).first_bin[[0, 1, 3]].tolist()) == [0, 0, 0]
 
 
+def naive_best_two_fit(sizes, capacity):
+    """One bin at a time on a plain list: largest that fits first; then the smallest gives way to the best pair that fills its gap better."""
+    rest, bins = sorted(sizes), []
+    while rest:
+        own, free = [], capacity
+        for x in reversed(list(rest)):
+            if x <= free:
+                own.append(x)
+                rest.remove(x)
+                free -= x
+        if free and len(own) > 1:
+            small = min(own)
+            pool = sorted([*rest, small])
+            pairs = [(a + b, a, b) for i, a in enumerate(pool) for b in pool[i + 1 :] if small < a + b <= small + free]
+            if pairs:
+                _, a, b = max(pairs)
+                own.remove(small)
+                rest = sorted([*rest, small])
+                for x in (a, b):
+                    rest.remove(x)
+                    own.append(x)
+        bins.append(sorted(own))
+    return bins
+
+
+def test_best_two_fit_like_a_plain_list():
+    rng = random.Random(13)
+    for _ in range(60):
+        sizes = [rng.choice([rng.randint(1, 60), rng.randint(20, 40), 60]) for _ in range(rng.randint(0, 40))]
+        plan = packing.best_two_fit(np.bincount(sizes, minlength=61) if sizes else np.zeros(61, int), 60)
+        seen, made = Counter(), {}
+        for x in sizes:
+            b = int(plan.place(np.array([x]), np.array([seen[x]]))[0][0])
+            seen[x] += 1
+            made.setdefault(b, []).append(x)
+        assert all(sum(v) <= 60 for v in made.values())
+        assert sorted(sorted(v) for v in made.values()) == sorted(naive_best_two_fit(sizes, 60))
+
+
 def test_packing_contract(spark, docs, empty):
     got = packing.pack(packing.token_pieces(clash(docs, "piece"), carry=["doc_id", "text"], with_ids=True))
     rows = got.collect()
@@ -287,6 +352,45 @@ def test_packing_contract(spark, docs, empty):
 # ---- 5
 
 
+def test_language_by_plain_votes():
+    """Trigrams counted in dictionaries, every one-versus-one decision by itself, family first."""
+    rng = random.Random(17)
+    stock = {"de": "der und nicht ein für über straße".split(), "nl": "het een niet voor over straat zijn".split(), "fr": "le une pas pour sur rue être".split(), "es": "el una no para sobre calle ser".split(), "xx": "zug mok trel blib".split()}
+    rows = [(" ".join(rng.choice(stock[lang]) for _ in range(30)), lang) for lang in stock for _ in range(40)]
+    s = language.Settings(dims=512, epochs=4)
+    m = language.fit([x for x, _ in rows], [y for _, y in rows], s)
+    texts = [x for x, _ in rows[::9]] + ["", "1 2 3", "Der UND nicht", "ab", "é"]
+    names, score = m.predict(queries.ann.pa.array(texts))
+
+    def counts(text):
+        out, data = np.zeros(s.dims), [language.LETTERS[b] for b in text.encode()]
+        for a, b, c in zip(data, data[1:], data[2:], strict=False):
+            code = int(a) << 16 | int(b) << 8 | int(c)
+            if code:
+                out[((code * 0x9E3779B97F4A7C15) & (1 << 64) - 1) >> 64 - 9] += 1
+        out = np.sqrt(out)
+        return out / max(np.linalg.norm(out), 1e-9)
+
+    def shares(classes, pairs, x):
+        if len(classes) == 1:
+            return {classes[0]: 1.0}
+        out = dict.fromkeys(classes, 1e-9)
+        for i, a in enumerate(classes):
+            for b in classes[i + 1 :]:
+                p = 1 / (1 + np.exp(-np.clip(pairs[a, b].slope * (x @ pairs[a, b].weights + pairs[a, b].bias), -30, 30)))
+                out[a] += p
+                out[b] += 1 - p
+        return {k: v / (len(classes) - 1) for k, v in out.items()}
+
+    for text, name, got in zip(texts, names, score, strict=True):
+        x = counts(text)
+        fam = shares(m.families, m.family_pairs, x)
+        family = max(m.families, key=lambda f: fam[f])
+        own = shares(m.langs[family], m.lang_pairs, x)
+        best = max(m.langs[family], key=lambda k: own[k])
+        assert abs(fam[family] * own[best] - got) < 1e-4 and (best == name or abs(own[best] - own[name]) < 1e-6), text
+
+
 def test_language(spark, docs, empty):
     got = {r["doc_id"]: r for r in queries.op5_language(spark, "/root/testdata/sf0.01").collect()}
     truth = duckdb.sql("select doc_id, lang from '/root/testdata/sf0.01/documents.parquet' where length(text) > 80").fetchall()
