@@ -34,7 +34,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group joined by a similarity of 0.8 of five-word shingles the document of the least id stays (a null id last).
 
-    Null, empty and blank texts are one group; of rows that share id and text one stays."""
+    SimHash fingerprints within 11 bits meet in the grid of segment popcounts and are checked by whole shingle sets; what that has not
+    joined meets in cells of least hashes as well. Null, empty and blank texts are one group; of rows that share id and text one stays."""
     return similar.drop_similar(docs, words=5, similarity=0.8)
 
 

@@ -55,6 +55,18 @@ def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 4, seed:
     return map_text(docs, kernel, [T.StructField("fp", T.LongType())], text_col, carry)
 
 
+def majority(of: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of n texts from rows (text, hash), sorted by text: bits set in over half of a text's hashes; 0 without any."""
+    out = np.zeros(n, U64)
+    if len(h):
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        size = np.diff(np.append(first, len(h)))
+        for b in range(64):
+            ones = np.add.reduceat(((h >> U64(b)) & U64(1)).astype(np.int64), first)
+            out[of[first]] |= (2 * ones > size).astype(U64) << U64(b)
+    return out
+
+
 def embed(x: np.ndarray) -> np.ndarray:
     """The popcounts of the 32 two-bit segments, in unary (00, 01, 11): the Hamming distance of two embeddings is the
     Manhattan distance of their popcount vectors, which never exceeds the Hamming distance of the fingerprints."""
@@ -62,20 +74,28 @@ def embed(x: np.ndarray) -> np.ndarray:
     return (low | high) | ((low & high) << U64(1))
 
 
-def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell): grid cells of each half of the embedding within Manhattan distance 1, the half's own included.
+def parts_for(most: int) -> int:
+    """Into how many parts the 32 segments go for `most` differing bits: one part then differs by 2 at most."""
+    return most // 3 + 1
+
 
-    Fingerprints at distance 4 or less have a half at Manhattan distance 2 or less; then a grid point lies
-    within 1 of both, so they share a cell."""
+def cells(fp: np.ndarray, parts: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell): grid cells of each part (a half, of two) of the embedding within Manhattan distance 1, the part's own included.
+
+    Fingerprints at distance 3 * parts - 1 or less (4 or less: a half) have a part at Manhattan distance 2 or less; then a grid
+    point lies within 1 of both, so they share a cell."""
     e = embed(fp)
     rows, out = [], []
-    for half in range(2):
-        h = (e >> U64(32 * half)) & U64(0xFFFFFFFF)
-        tag = U64(half) << U64(32)
+    edge = [32 * k // parts for k in range(parts + 1)]
+    wide = max(np.diff(edge))
+    for part in range(parts):
+        segments = edge[part + 1] - edge[part]
+        h = (e >> U64(2 * edge[part])) & U64((1 << 2 * segments) - 1)
+        tag = U64(part) << U64(2 * wide)
         n = np.arange(len(fp))
         rows.append(n)
         out.append(h | tag)
-        for seg in range(16):
+        for seg in range(segments):
             lo, hi = U64(1) << U64(2 * seg), U64(2) << U64(2 * seg)
             a, b = (h & lo) != 0, (h & hi) != 0
             step = np.where(a & b, h ^ hi, h ^ lo)  # 2 -> 1; 1 -> 0; 0 -> 1
@@ -88,13 +108,36 @@ def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 SMALL = 12
+#: Comparisons that are made at once, and pairs a row up to which a larger cell gives all its pairs.
+_BLOCK, _MANY = 1 << 16, 8
+
+
+def _pairs_of_cell(fp: np.ndarray, e: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Positions of the pairs at distance `most` or less, which rows have one, and whether these are all pairs: they end with
+    the block in which they become more than _MANY a row."""
+    n = len(fp)
+    out_a, out_b, hit, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(n, bool), 0
+    rows = max(1, _BLOCK // n)
+    for k in range(0, n, rows):
+        i, j = np.divmod(np.flatnonzero(np.bitwise_count(e[k : k + rows, None] ^ e[None, k:]) <= most), n - k)  # the bound
+        later = i < j
+        i, j = i[later] + k, j[later] + k
+        near = np.bitwise_count(fp[i] ^ fp[j]) <= most  # the check
+        i, j = i[near], j[near]
+        hit[i] = hit[j] = True
+        if found <= _MANY * n:
+            out_a.append(i)
+            out_b.append(j)
+        found += len(i)
+    return np.concatenate(out_a), np.concatenate(out_b), hit, found <= _MANY * n
 
 
 def links_in_cells(cell: np.ndarray, fp: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Links that join all of each cell's fingerprints which are joined by distances of at most `most` inside the cell.
 
-    Rows come sorted by cell. Cells of up to SMALL rows: pairs by shift. Larger: search from one fingerprint after
-    another among those not yet reached, so a tight group of any size costs one pass; never all its pairs."""
+    Rows come sorted by cell. Cells of up to SMALL rows: pairs by shift. Larger: all pairs, block by block, unless they are more than
+    _MANY a row. Then search from one fingerprint after another among those not yet reached, so a tight group of any size
+    costs one pass; never all its pairs."""
     n = len(cell)
     if n < 2:
         return np.zeros(0, U64), np.zeros(0, U64)
@@ -120,62 +163,74 @@ def links_in_cells(cell: np.ndarray, fp: np.ndarray, most: int = 4) -> tuple[np.
         if name in seen:  # the same members meet in many cells
             continue
         seen.add(name)
+        bound = embed(rest)
+        i, j, hit, whole = _pairs_of_cell(rest, bound, most)
+        if whole:
+            out_a.append(rest[i])
+            out_b.append(rest[j])
+            continue
+        rest, bound = rest[hit], bound[hit]
         while len(rest) > 1:
-            todo, rest = [rest[0]], rest[1:]
+            todo, rest, bound = [rest[0]], rest[1:], bound[1:]
             while todo and len(rest):
                 x = todo.pop()
-                near = np.bitwise_count(embed(x) ^ embed(rest)) <= most
-                near[near] = np.bitwise_count(x ^ rest[near]) <= most
-                got = rest[near]
-                if len(got):
+                near = np.flatnonzero(np.bitwise_count(embed(x) ^ bound) <= most)
+                near = near[np.bitwise_count(x ^ rest[near]) <= most]
+                if len(near):
+                    got = rest[near]
                     out_a.append(np.full(len(got), x))
                     out_b.append(got)
                     todo += list(got)
-                    rest = rest[~near]
+                    rest, bound = np.delete(rest, near), np.delete(bound, near)
     if not out_a:
         return np.zeros(0, U64), np.zeros(0, U64)
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fp = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
-        for k in range(0, len(fp), 1200):  # some 60,000 rows a batch
-            part = fp[k : k + 1200]
-            row, cell = cells(part)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(part[row].view(np.int64))], names=["cell", "fp"])
+def _cell_rows(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
+            for k in range(0, len(fp), 1200):  # some 60,000 rows a batch
+                part = fp[k : k + 1200]
+                row, cell = cells(part, parts)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(part[row].view(np.int64))], names=["cell", "fp"])
+
+    return run
 
 
-def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cell_links(most: int):
     """Whole cells at a time: rows come sorted by cell, and the last cell of a batch waits for the next batch."""
-    held_c, held_f = [], []
 
     def flush(c: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        a, b = links_in_cells(c, f.view(U64))
+        a, b = links_in_cells(c, f.view(U64), most)
         x = np.unique(np.stack([np.minimum(a.view(np.int64), b.view(np.int64)), np.maximum(a.view(np.int64), b.view(np.int64))], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
-    rows = 0
-    for batch in batches:
-        c, f = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        held_c.append(c)
-        held_f.append(f)
-        rows += len(c)
-        if rows >= 100_000 and len(c):
-            c, f = np.concatenate(held_c), np.concatenate(held_f)
-            cut = int(np.searchsorted(c, c[-1]))
-            if cut:
-                yield flush(c[:cut], f[:cut])
-            held_c, held_f, rows = [c[cut:]], [f[cut:]], len(c) - cut
-    if held_c:
-        yield flush(np.concatenate(held_c), np.concatenate(held_f))
-    tidy()
-
-
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b): pairs of different fingerprints at distance 4 or less that join all that are so joined."""
-    rows = prints.select("fp").mapInArrow(_cell_rows, "cell long, fp long")
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_c, held_f, rows = [], [], 0
+        for batch in batches:
+            c, f = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            held_c.append(c)
+            held_f.append(f)
+            rows += len(c)
+            if rows >= 100_000 and len(c):
+                c, f = np.concatenate(held_c), np.concatenate(held_f)
+                cut = int(np.searchsorted(c, c[-1]))
+                if cut:
+                    yield flush(c[:cut], f[:cut])
+                held_c, held_f, rows = [c[cut:]], [f[cut:]], len(c) - cut
+        if held_c:
+            yield flush(np.concatenate(held_c), np.concatenate(held_f))
+        tidy()
+
+    return run
+
+
+def links(prints: DataFrame, most: int = 4) -> DataFrame:
+    """(a, b): pairs of different fingerprints at distance `most` or less that join all that are so joined."""
+    rows = prints.select("fp").mapInArrow(_cell_rows(parts_for(most)), "cell long, fp long")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(most), "a long, b long").distinct()
 
 
 def _classes(prints: DataFrame) -> DataFrame:

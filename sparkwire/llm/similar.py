@@ -1,10 +1,10 @@
-"""Near copies by the similarity of word shingles: least hashes find pairs that may be linked, whole sets decide.
+"""Near copies by the similarity of word shingles: SimHash and a grid find pairs that may be linked, whole sets decide.
 
-A radius of a few bits of a 64-bit fingerprint can't reach a similarity of 0.8 (such pairs differ in up to 14 bits), and
-a grid for that radius has too many cells. So rows meet in cells of least shingle hashes instead; there the numbers of
-shingles and the shared least hashes leave the candidates, and whole sets are compared. SimHash bits rule nothing out: how
-far they differ at a similarity depends on the number of shingles (counts tie, most of all in short texts), whereas two sets
-of any size share a least hash with a probability that is their similarity.
+Fingerprints of the shingles meet in the grid of segment popcounts (simhash.py), within BITS bits and without loss; pairs so found
+are checked by whole sets. No radius of a 64-bit fingerprint is enough by itself: how far it differs at a similarity depends on the
+number of shingles (counts tie, most of all in short texts), and a grid for 14 bits has too few cells. So the rest,
+rows that the grid did not join, meet in cells of least shingle hashes too, as two sets of any size share a least hash with a
+probability that is their similarity; there the numbers of shingles and the shared least hashes leave the candidates.
 
 Small cells give all their candidates. In large ones rows are first joined to a few leaders; then rows outside a cell's
 commonest group bring their sets to the cell and are compared there, so that what leaves a cell are links, at most one for
@@ -23,8 +23,11 @@ from pyspark.sql import types as T
 
 from .common import SPACE, U64, keep_keys, keyed, map_text, prefix_hash, runs, signed, span_hash, splitmix, stash, text_buffer, tidy
 from .components import components
-from .simhash import EVEN
+from .simhash import EVEN, links, majority
 
+#: Bits by which fingerprints may differ in the grid, by four parts of the popcounts (a tenth of all pairs share a cell; by five parts, for 14
+#: bits, 0.36 of them would). Each fingerprint's NEAREST links are checked first, and the others where these have not joined their ends.
+BITS, NEAREST = 11, 3
 #: Cells of a text, and least hashes that make up a cell: a pair of similarity 0.8 misses all cells once in 300000.
 CELLS, JOINED = 24, 4
 #: Further least hashes of which two bits each are kept, to estimate the similarity.
@@ -88,7 +91,7 @@ def cell_names(of: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 
 def signatures(docs: DataFrame, text_col: str, words: int, carry: list[str]) -> DataFrame:
-    """Adds node and node2 (hashes of the words), m0, m1, ... (bits of the least hashes), n (distinct shingles) and cells."""
+    """Adds node and node2 (hashes of the words), m0, m1, ... (bits of the least hashes), n (distinct shingles), fp (their SimHash) and cells."""
 
     def kernel():
         def work(texts: pa.Array) -> list[pa.Array]:
@@ -96,11 +99,11 @@ def signatures(docs: DataFrame, text_col: str, words: int, carry: list[str]) ->
             n = whole.shape[1]
             cells, f = cell_names(of, h, n)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * CELLS), pa.array(signed(cells.ravel())))
-            return [pa.array(signed(whole[0])), pa.array(signed(whole[1])), *[pa.array(signed(np.ascontiguousarray(f[:, k]))) for k in range(f.shape[1])], pa.array(np.bincount(of, minlength=n)), lists]
+            return [pa.array(signed(whole[0])), pa.array(signed(whole[1])), *[pa.array(signed(np.ascontiguousarray(f[:, k]))) for k in range(f.shape[1])], pa.array(np.bincount(of, minlength=n)), pa.array(signed(majority(of, h, n))), lists]
 
         return work
 
-    fields = [T.StructField(x, T.LongType()) for x in ("node", "node2", *DIGESTS, "n")] + [T.StructField("cells", T.ArrayType(T.LongType()))]
+    fields = [T.StructField(x, T.LongType()) for x in ("node", "node2", *DIGESTS, "n", "fp")] + [T.StructField("cells", T.ArrayType(T.LongType()))]
     return map_text(docs, kernel, fields, text_col, carry)
 
 
@@ -358,21 +361,36 @@ def links_outside(large: DataFrame, roots: DataFrame, classes: DataFrame, sets,
     return deal(near.join(both, "node"), "shingles").mapInArrow(_outside(share, True), "a long, b long").distinct()
 
 
+def grid_pairs(classes: DataFrame, share: float) -> DataFrame:
+    """(a, b, k): candidate pairs of nodes, by the grid join of their fingerprints: pairs that join all fingerprints which distances of at
+    most BITS join, less those whose numbers of shingles rule a link out. Of equal fingerprints the least node stands for the others.
+    k: which of the links of its greater fingerprint a pair is, nearest first."""
+    own = classes.where("n > 0").select("fp", "node", "n")
+    heads = stash(own.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("h")).select("fp", F.col("h.node").alias("x"), F.col("h.n").alias("nx")), "prints")
+    across = links(heads, BITS).join(heads.toDF("a", "x", "nx"), "a").join(heads.toDF("b", "y", "ny"), "b")
+    equal = own.join(heads, "fp").where("node <> x").select(F.lit(1).alias("k"), "x", "nx", F.col("node").alias("y"), F.col("n").alias("ny"))
+    alike = F.least("nx", "ny") >= F.lit(share) * F.greatest("nx", "ny")
+    nearest = Window.partitionBy("b").orderBy(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))), "a")
+    across = across.where(alike).select(F.row_number().over(nearest).alias("k"), "x", "nx", "y", "ny")
+    return across.union(equal.where(alike)).select(F.col("x").alias("a"), F.col("y").alias("b"), "k")
+
+
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` without near copies: of each group joined by a similarity (Jaccard, distinct shingles of `words`
     words) of at least `similarity`, the row of the least id stays; a null id comes last, and of rows that share id and
     text one stays. Texts of the same words are one class; null, empty and blank texts are one. Columns stay as they are, whatever
     their names. An empty table gives an empty one.
 
-    Candidates come from cells; a pair of exactly 0.8 is missed about once in 200000 (no cell in common, or the estimate beyond
-    its bound), whatever the texts' lengths and the cells' sizes, and more similar ones hardly ever. No pair below `similarity`
-    links. Classes are known by 128 bits of hash of their words, shingles by 64.
+    Candidates come from the grid of the fingerprints' popcounts first; what it does not join meets in cells of least hashes too,
+    where a pair of exactly 0.8 is missed about once in 200000 (no cell in common, or the estimate beyond its bound), whatever the
+    texts' lengths and the cells' sizes, and more similar ones hardly ever. No pair below `similarity` links. Classes are known by
+    128 bits of hash of their words, shingles by 64.
     """
     rows = keyed(docs, id_col, text_col)
     slim = rows.select("id_", "text", "key1_", "key2_")
     wide = stash(signatures(slim, "text", words, ["id_", "key1_", "key2_"]), "wide")
     place = F.struct(F.col("id_").isNull().alias("z"), F.col("id_").alias("id"), F.col("key1_").alias("k1"), F.col("key2_").alias("k2"))
-    classes = stash(wide.groupBy("node", "node2").agg(F.min(place).alias("p"), *[F.first(c).alias(c) for c in (*DIGESTS, "n", "cells")]), "classes")
+    classes = stash(wide.groupBy("node", "node2").agg(F.min(place).alias("p"), *[F.first(c).alias(c) for c in (*DIGESTS, "n", "fp", "cells")]), "classes")
     # classes that share a node, N^2 / 2^65 of N by chance, are told apart by the other hash
     twins = classes.groupBy("node").agg(F.min("node2").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").select("node", "least")
     other = F.col("node2") != F.col("least")
@@ -384,13 +402,23 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts = slim.select("text", "key1_", "key2_").join(keys, ["key1_", "key2_"]).dropDuplicates(["node"]).select("node", "text")
         return stash(shingle_sets(texts, "text", words, ["node"]), "sets")
 
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (a, b) that are as similar as asked, by whole sets."""
+        pairs = stash(pairs, f"{name}pairs")
+        own = sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        both = pairs.join(own.toDF("b", "sb"), "b").join(own.toDF("a", "sa"), "a")
+        shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+        return stash(both.where(shared >= F.lit(similarity) * (total - shared)).select("a", "b"), name)
+
+    near = stash(grid_pairs(classes, similarity), "grid")
+    first = checked(near.where(F.col("k") <= NEAREST).select("a", "b"), "near")
+    joined = components(first)
     met = stash(meetings(classes, similarity), "met")
-    pairs = stash(met.where("cell is null").select("a", "b").distinct(), "pairs")
-    own = sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    both = pairs.join(own.toDF("b", "sb"), "b").join(own.toDF("a", "sa"), "a")
-    shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    links = components(both.where(shared >= F.lit(similarity) * (total - shared)).select("a", "b"))
-    roots = stash(classes.select("node").join(links, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+    rest = near.where(F.col("k") > NEAREST).select("a", "b").union(met.where("cell is null").select("a", "b")).distinct()
+    rest = rest.join(joined.toDF("a", "ra"), "a", "left").join(joined.toDF("b", "rb"), "b", "left")
+    rest = checked(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "rest")
+    joined = components(first.union(rest))
+    roots = stash(classes.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
     more = components(links_outside(met.where("cell is not null"), roots, classes, sets, similarity)).toDF("root", "top")
     roots = roots.join(more, "root", "left").select(F.col("node").alias("n_"), F.coalesce("top", "root").alias("root"))
     kept = classes.select("node", "p").join(roots, F.col("node") == F.col("n_")).groupBy("root").agg(F.min("p").alias("p"))

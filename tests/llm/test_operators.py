@@ -597,6 +597,60 @@ def test_drop_similar_loses_no_short_link(spark):
     assert {r["doc_id"] for r in got} == {2 * k for k in range(1600)}
 
 
+def test_near_copies_come_by_the_grid(spark, monkeypatch):
+    """Without the cells of least hashes the SimHash grid alone still joins copies with edited words, and sets part the others."""
+    monkeypatch.setattr(similar, "meetings", lambda classes, share: spark.createDataFrame([], "cell long, a long, b long"))
+    rng = random.Random(5)
+    rows = []
+    for k in range(30):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        rows.append((3 * k, " ".join(w)))
+        w[60] = "edited"
+        rows.append((3 * k + 1, " ".join(w)))
+        if k % 2:  # a tenth of the words: below 0.8
+            rows.append((3 * k + 2, " ".join("other" if i % 10 == 5 else x for i, x in enumerate(w))))
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r["doc_id"] for r in got} == brute_similar(rows) == {3 * k for k in range(30)} | {3 * k + 2 for k in range(1, 30, 2)}
+
+
+def test_wider_grid_loses_none():
+    """Fingerprints joined within 11 bits, by four parts, against all pairs; a group dense enough for the search is among them."""
+    rng = np.random.default_rng(6)
+    fp = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    for k in range(1, 100):  # a chain of steps of up to 11 bits
+        fp[k] = fp[k - 1]
+        for b in rng.integers(0, 64, 11):
+            fp[k] ^= np.uint64(1) << np.uint64(b)
+    for k in range(100, 250):  # a tight group
+        fp[k] = fp[300]
+        for b in rng.integers(0, 64, 4):
+            fp[k] ^= np.uint64(1) << np.uint64(b)
+    fp = np.unique(fp)
+    row, cell = simhash.cells(fp, simhash.parts_for(11))
+    o = np.argsort(cell, kind="stable")
+    a, b = simhash.links_in_cells(cell[o], fp[row][o], 11)
+    assert (np.bitwise_count(a ^ b) <= 11).all()
+    got, want = {int(x): int(x) for x in fp}, {int(x): int(x) for x in fp}
+
+    def find(p, x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for p, pairs in ((got, zip(a, b, strict=True)), (want, ((x, y) for i, x in enumerate(fp) for y in fp[i + 1 :][np.bitwise_count(x ^ fp[i + 1 :]) <= 11]))):
+        for x, y in pairs:
+            x, y = sorted((find(p, int(x)), find(p, int(y))))
+            p[y] = x
+    assert [find(got, int(x)) for x in fp] == [find(want, int(x)) for x in fp] and len({find(want, int(x)) for x in fp}) < 200
+
+
+def test_majority_of_plain_counts():
+    rng = np.random.default_rng(2)
+    of, h = np.repeat([0, 2, 3], [1, 6, 9]), rng.integers(0, 1 << 63, 16, dtype=np.uint64)
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[of == k]) > (of == k).sum()) for k in range(4)]
+    assert simhash.majority(of, h, 4).tolist() == want and want[0] == int(h[0]) and want[1] == 0
+
+
 def brute_roots(nodes, f, n, root, share):
     """Roots joined by all candidate pairs of one cell, by the same bounds."""
     joined = {int(r): int(r) for r in root}
