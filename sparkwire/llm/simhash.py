@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +79,13 @@ def parts_for(most: int) -> int:
     return most // 3 + 1
 
 
+def _places(parts: int) -> list[tuple[int, int, U64]]:
+    """First segment, number of segments and tag of each part."""
+    edge = [32 * k // parts for k in range(parts + 1)]
+    wide = max(np.diff(edge))
+    return [(edge[k], edge[k + 1] - edge[k], U64(k) << U64(2 * wide)) for k in range(parts)]
+
+
 def cells(fp: np.ndarray, parts: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell): grid cells of each part (a half, of two) of the embedding within Manhattan distance 1, the part's own included.
 
@@ -86,12 +93,8 @@ def cells(fp: np.ndarray, parts: int = 2) -> tuple[np.ndarray, np.ndarray]:
     point lies within 1 of both, so they share a cell."""
     e = embed(fp)
     rows, out = [], []
-    edge = [32 * k // parts for k in range(parts + 1)]
-    wide = max(np.diff(edge))
-    for part in range(parts):
-        segments = edge[part + 1] - edge[part]
-        h = (e >> U64(2 * edge[part])) & U64((1 << 2 * segments) - 1)
-        tag = U64(part) << U64(2 * wide)
+    for begin, segments, tag in _places(parts):
+        h = (e >> U64(2 * begin)) & U64((1 << 2 * segments) - 1)
         n = np.arange(len(fp))
         rows.append(n)
         out.append(h | tag)
@@ -107,23 +110,44 @@ def cells(fp: np.ndarray, parts: int = 2) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
+def first_cells(x: np.ndarray, y: np.ndarray, parts: int = 2) -> np.ndarray:
+    """One cell of those that each pair of fingerprints shares, the same whichever comes first; all bits set, which no cell has, if none.
+
+    It is of the first part that differs by 2 at most: the least of the parts' own values, or of the grid points between them."""
+    e, f = embed(x), embed(y)
+    out = np.full(np.broadcast(e, f).shape, ~U64(0))
+    for begin, segments, tag in _places(parts)[::-1]:
+        h, g = ((v >> U64(2 * begin)) & U64((1 << 2 * segments) - 1) for v in (e, f))
+        z = h ^ g
+        step = z & (~z + U64(1))
+        d = np.bitwise_count(z)
+        out = np.where(d <= 2, np.where(d == 2, np.minimum(h ^ step, g ^ step), np.minimum(h, g)) | tag, out)
+    return out
+
+
 SMALL = 12
 #: Comparisons that are made at once, and pairs a row up to which a larger cell gives all its pairs.
 _BLOCK, _MANY = 1 << 16, 8
 
 
-def _pairs_of_cell(fp: np.ndarray, e: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """Positions of the pairs at distance `most` or less, which rows have one, and whether these are all pairs: they end with
-    the block in which they become more than _MANY a row."""
+def _near_blocks(fp: np.ndarray, e: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs at distance `most` or less, a block of comparisons at a time."""
     n = len(fp)
-    out_a, out_b, hit, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(n, bool), 0
     rows = max(1, _BLOCK // n)
     for k in range(0, n, rows):
         i, j = np.divmod(np.flatnonzero(np.bitwise_count(e[k : k + rows, None] ^ e[None, k:]) <= most), n - k)  # the bound
         later = i < j
         i, j = i[later] + k, j[later] + k
         near = np.bitwise_count(fp[i] ^ fp[j]) <= most  # the check
-        i, j = i[near], j[near]
+        yield i[near], j[near]
+
+
+def _pairs_of_cell(fp: np.ndarray, e: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Positions of the pairs at distance `most` or less, which rows have one, and whether these are all pairs: they end with
+    the block in which they become more than _MANY a row."""
+    n = len(fp)
+    out_a, out_b, hit, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(n, bool), 0
+    for i, j in _near_blocks(fp, e, most):
         hit[i] = hit[j] = True
         if found <= _MANY * n:
             out_a.append(i)
@@ -187,6 +211,27 @@ def links_in_cells(cell: np.ndarray, fp: np.ndarray, most: int = 4) -> tuple[np.
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def partners_in_cells(cell: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, fingerprint, its nearest partner there): a row for each fingerprint and cell with a partner within `most` bits, of
+    pairs whose first common cell it is; never a row for each pair. Rows come sorted by cell; a fingerprint that comes twice is its own partner."""
+    head = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    size = np.diff(np.append(head, len(cell)))
+    parts, none = parts_for(most), np.iinfo(np.int64).max
+    out = [np.zeros((3, 0), U64)]
+    for g in np.flatnonzero(size > 1):
+        own = np.sort(fp[head[g] : head[g] + size[g]])
+        best = np.full(len(own), none)  # distance and position
+        for i, j in _near_blocks(own, embed(own), most):
+            first = first_cells(own[i], own[j], parts) == cell[head[g]]
+            i, j = i[first], j[first]
+            far = np.bitwise_count(own[i] ^ own[j]).astype(np.int64) << 40
+            np.minimum.at(best, i, far | j)
+            np.minimum.at(best, j, far | i)
+        hit = np.flatnonzero((best < none) & np.append(True, own[1:] != own[:-1]))
+        out.append(np.stack([np.full(len(hit), cell[head[g]]), own[hit], own[best[hit] & ((1 << 40) - 1)]]))
+    return tuple(np.concatenate(out, 1))
+
+
 def _cell_rows(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,13 +245,24 @@ def _cell_rows(parts: int):
 
 
 def _cell_links(most: int):
-    """Whole cells at a time: rows come sorted by cell, and the last cell of a batch waits for the next batch."""
-
     def flush(c: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
         a, b = links_in_cells(c, f.view(U64), most)
         x = np.unique(np.stack([np.minimum(a.view(np.int64), b.view(np.int64)), np.maximum(a.view(np.int64), b.view(np.int64))], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
+    return _whole_cells(flush)
+
+
+def _cell_partners(most: int):
+    def flush(c: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in partners_in_cells(c.view(U64), f.view(U64), most)], names=["cell", "a", "b"])
+
+    return _whole_cells(flush)
+
+
+def _whole_cells(flush: Callable[[np.ndarray, np.ndarray], pa.RecordBatch]):
+    """Whole cells at a time: rows come sorted by cell, and the last cell of a batch waits for the next batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_c, held_f, rows = [], [], 0
         for batch in batches:
@@ -233,6 +289,12 @@ def links(prints: DataFrame, most: int = 4) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(most), "a long, b long").distinct()
 
 
+def partners(prints: DataFrame, most: int) -> DataFrame:
+    """(cell, a, b): see partners_in_cells."""
+    rows = prints.select("fp").mapInArrow(_cell_rows(parts_for(most)), "cell long, fp long")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_partners(most), "cell long, a long, b long")
+
+
 def _classes(prints: DataFrame) -> DataFrame:
     """(fp_, root) of every fingerprint: the class it is joined to, named by its least fingerprint."""
     classes = stash(prints.select("fp").distinct(), "fpclass")

@@ -1,14 +1,14 @@
 """Near copies by the similarity of word shingles: SimHash and a grid find pairs that may be linked, whole sets decide.
 
-Fingerprints of the shingles meet in the grid of segment popcounts (simhash.py), within BITS bits and without loss; pairs so found
-are checked by whole sets. No radius of a 64-bit fingerprint is enough by itself: how far it differs at a similarity depends on the
-number of shingles (counts tie, most of all in short texts), and a grid for 14 bits has too few cells. So the rest,
-rows that the grid did not join, meet in cells of least shingle hashes too, as two sets of any size share a least hash with a
-probability that is their similarity; there the numbers of shingles and the shared least hashes leave the candidates.
-
-Small cells give all their candidates. In large ones rows are first joined to a few leaders; then rows outside a cell's
-commonest group bring their sets to the cell and are compared there, so that what leaves a cell are links, at most one for
-each group but one, however many pairs were compared. A cell is streamed: no task holds more than leaders or a block.
+Fingerprints of the shingles meet in the grid of segment popcounts (simhash.py), within BITS bits and without loss: each one's
+nearest partners are checked first, by whole sets, and later, inside the cells, all other pairs whose ends are still apart. No radius
+of a 64-bit fingerprint is enough by itself: how far it differs at a similarity depends on the number of shingles (counts tie, most of
+all in short texts), and a grid for 14 bits has too few cells. So rows that the grid's nearest pairs did not join meet in cells of least
+shingle hashes too, as two sets of any size share a least hash with a probability that is their similarity; there the numbers of shingles and the shared least hashes leave the candidates.
+
+Small cells of least hashes give all their candidates; in large ones rows are first joined to a few leaders. Then, in these and in the
+grid's, rows outside a cell's commonest group bring their sets to the cell and are compared there, so that what leaves a cell are links, at
+most one for each group but one, however many pairs were compared. A cell is streamed: no task holds more than leaders or a block.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 
 from .common import SPACE, U64, keep_keys, keyed, map_text, prefix_hash, runs, signed, span_hash, splitmix, stash, text_buffer, tidy
 from .components import components
-from .simhash import EVEN, links, majority
+from .simhash import EVEN, first_cells, majority, partners, parts_for
 
 #: Bits by which fingerprints may differ in the grid, by four parts of the popcounts (a tenth of all pairs share a cell; by five parts, for 14
-#: bits, 0.36 of them would). Each fingerprint's NEAREST links are checked first, and the others where these have not joined their ends.
+#: bits, 0.36 of them would). Each fingerprint's NEAREST partners are checked first, and the others where these have not joined their ends.
 BITS, NEAREST = 11, 3
 #: Cells of a text, and least hashes that make up a cell: a pair of similarity 0.8 misses all cells once in 300000.
 CELLS, JOINED = 24, 4
@@ -138,6 +138,16 @@ def _near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, at: np.n
     return k[(guess >= share - SLACK) & first], k[guess >= share + SURE]
 
 
+def _within(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, at: int, share: float) -> tuple[np.ndarray, None]:
+    """As _near, for a cell `at` of the grid: positions of the fingerprints within BITS bits for which this is the first common cell."""
+    k = np.flatnonzero((np.minimum(nx, ny) >= share * np.maximum(nx, ny)) & (np.bitwise_count(x[:, 0] ^ y[:, 0]) <= BITS))
+    return k[first_cells(x[:, 0], y[k, 0], parts_for(BITS)).view(np.int64) == at], None
+
+
+#: What the rows of each kind of cell bring there, and how candidates are told.
+MET, GRID = (DIGESTS, _near), (["fp"], _within)
+
+
 def pairs_of_small(cell: np.ndarray, at: np.ndarray, f: np.ndarray, n: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the candidate pairs of rows sorted by cell, cells of up to SMALL rows: each pair in the first cell of its rows."""
     out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -243,22 +253,22 @@ def _pieces(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
-def _outside(share: float, exact: bool):
-    """Kernel over rows (cell, block, role, node, root, at, n, digests[, shingles]) sorted by the first three: rows of role 0 are held
+def _outside(share: float, exact: bool, kind=MET):
+    """Kernel over rows (cell, block, role, node, root, at, n, what the kind of cell asks for[, shingles]) sorted by the first three: rows of role 0 are held
     against each other and against all others of their cell and block. exact: links (a, b) of roots, by whole sets, that join
     all that is joined there, at most one for each root but one. Else: the rows (cell, block, role, node, root, at) with candidates."""
-    lead = ["cell", "block", "role", "node", "root", "at", "n"]
+    lead, (digests, candidates) = ["cell", "block", "role", "node", "root", "at", "n"], kind
 
     class Part:
         """Rows as arrays."""
 
         def __init__(self, batch: pa.RecordBatch):
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[: len(lead) + len(DIGESTS)]]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[: len(lead) + len(digests)]]
             for k, x in zip(lead, cols, strict=False):
                 setattr(self, k, x)
             self.f = np.stack(cols[len(lead) :], 1).view(U64)
             if exact:
-                sets = batch.column(len(lead) + len(DIGESTS))
+                sets = batch.column(len(lead) + len(digests))
                 offsets = sets.offsets.to_numpy().astype(np.int64)
                 self.start, self.size = offsets[:-1] - offsets[0], np.diff(offsets)
                 self.words, self.code = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
@@ -279,7 +289,7 @@ def _outside(share: float, exact: bool):
             rows = rows[q.root[rows] != p.root[i]]
             if not len(rows):
                 return
-            k, _ = _near(p.f[i : i + 1], q.f[rows], p.n[i], q.n[rows], p.at[i], share)
+            k, _ = candidates(p.f[i : i + 1], q.f[rows], p.n[i], q.n[rows], p.at[i], share)
             rows = rows[k]
             if exact and len(rows):
                 roots, which = np.unique(q.root[rows], return_inverse=True)
@@ -336,43 +346,58 @@ def _outside(share: float, exact: bool):
     return run
 
 
-def links_outside(large: DataFrame, roots: DataFrame, classes: DataFrame, sets, share: float) -> DataFrame:
-    """(a, b): links of roots that lie between unlike roots in the large cells, from rows (cell, a: node, b: at) of these.
+def _deal(rows: DataFrame, kind, *more: str) -> DataFrame:
+    return rows.select("cell", "block", "role", "node", "root", "at", "n", *kind[0], *more).repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
+
 
-    Rows outside a cell's commonest root are held, in blocks of BLOCK shingles, against the rest, and the rest is streamed. sets(nodes)
-    gives (node, shingles); only rows with candidates, by the least hashes, bring theirs."""
-    rows = large.select("cell", F.col("a").alias("node"), F.col("b").alias("at")).join(roots, "node").join(classes.select("node", "n"), "node")
+def rows_outside(large: DataFrame, ends: DataFrame, share: float, kind=MET) -> DataFrame:
+    """(cell, block, role, node, root, at): the rows that have candidates of other roots in the large cells, from rows (cell, a: node, b: at) of
+    these and ends: (node, root, n, what the kind of cell asks for), which are joined once, as a row is in many cells.
+
+    Rows outside a cell's commonest root (role 0) are held, in blocks of BLOCK shingles, against the rest, and the rest is streamed."""
+    rows = large.select("cell", F.col("a").alias("node"), F.col("b").alias("at")).join(ends.select("node", "root", "n", *kind[0]), "node")
+    rows = stash(rows, "large")
     sums = rows.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
     tops = sums.groupBy("cell").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root", "w")).alias("top"), F.sum("w").alias("w")).where("roots > 1")
     tops = tops.select("cell", F.col("top.root").alias("top"), F.ceil((F.col("w") - F.col("top.w")) / BLOCK).alias("blocks"))
     own = F.when(F.col("root") != F.col("top"), F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.join(tops, "cell").withColumn("own", own)
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("own", F.col("blocks") - 1))))
-    rows = rows.select("cell", "block", (F.coalesce("own", F.lit(-1)) != F.col("block")).cast("long").alias("role"), "node", "root", "at")
-    order, names = ["cell", "block", "role"], ["cell", "block", "role", "node", "root", "at"]
+    rows = rows.withColumn("role", (F.coalesce("own", F.lit(-1)) != F.col("block")).cast("long"))
+    names = ["cell", "block", "role", "node", "root", "at"]
+    near = _deal(rows, kind).mapInArrow(_outside(share, False, kind), ", ".join(f"{c} long" for c in names))
+    return stash(near, "outside")
+
+
+def links_of_rows(near: DataFrame, own: DataFrame, classes: DataFrame, share: float, kind=MET) -> DataFrame:
+    """(a, b): links of roots that lie between the rows of rows_outside, by whole sets; own: (node, shingles) of these."""
+    both = classes.select("node", "n", *kind[0]).join(own, "node")
+    return _deal(near.join(both, "node"), kind, "shingles").mapInArrow(_outside(share, True, kind), "a long, b long").distinct()
+
 
-    def deal(rows: DataFrame, *more: str) -> DataFrame:
-        return rows.select(*names, "n", *DIGESTS, *more).repartition("cell", "block").sortWithinPartitions(*order)
+def links_outside(large: DataFrame, roots: DataFrame, classes: DataFrame, sets, share: float, kind=MET) -> DataFrame:
+    """(a, b): links of roots that lie between unlike roots in the large cells. sets(nodes) gives (node, shingles); only rows with
+    candidates bring theirs."""
+    near = rows_outside(large, classes.join(roots, "node"), share, kind)
+    return links_of_rows(near, sets(near.select("node").distinct()), classes, share, kind)
 
-    wide = classes.select("node", "n", *DIGESTS)
-    near = deal(rows.join(wide, "node")).mapInArrow(_outside(share, False), ", ".join(f"{c} long" for c in names))
-    near = stash(near, "outside")
-    both = wide.join(sets(near.select("node").distinct()), "node")
-    return deal(near.join(both, "node"), "shingles").mapInArrow(_outside(share, True), "a long, b long").distinct()
 
+def grid_partners(classes: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """The grid join of the fingerprints: (a, b), pairs of nodes of which one's fingerprint is among the NEAREST partners of the other's,
+    less those whose numbers of shingles rule a link out; and (cell, a, b), each node in each cell where it has partners (b is the cell).
 
-def grid_pairs(classes: DataFrame, share: float) -> DataFrame:
-    """(a, b, k): candidate pairs of nodes, by the grid join of their fingerprints: pairs that join all fingerprints which distances of at
-    most BITS join, less those whose numbers of shingles rule a link out. Of equal fingerprints the least node stands for the others.
-    k: which of the links of its greater fingerprint a pair is, nearest first."""
+    Of equal fingerprints the least node stands for the others in the first, and is paired with them; in the second all nodes are."""
     own = classes.where("n > 0").select("fp", "node", "n")
-    heads = stash(own.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("h")).select("fp", F.col("h.node").alias("x"), F.col("h.n").alias("nx")), "prints")
-    across = links(heads, BITS).join(heads.toDF("a", "x", "nx"), "a").join(heads.toDF("b", "y", "ny"), "b")
-    equal = own.join(heads, "fp").where("node <> x").select(F.lit(1).alias("k"), "x", "nx", F.col("node").alias("y"), F.col("n").alias("ny"))
-    alike = F.least("nx", "ny") >= F.lit(share) * F.greatest("nx", "ny")
-    nearest = Window.partitionBy("b").orderBy(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))), "a")
-    across = across.where(alike).select(F.row_number().over(nearest).alias("k"), "x", "nx", "y", "ny")
-    return across.union(equal.where(alike)).select(F.col("x").alias("a"), F.col("y").alias("b"), "k")
+    heads = own.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("h"), F.count(F.lit(1)).alias("k"))
+    heads = stash(heads.select("fp", F.col("h.node").alias("x"), F.col("h.n").alias("nx"), "k"), "prints")
+    met = stash(partners(heads.select(F.explode(F.array_repeat("fp", F.least("k", F.lit(2)).cast("int"))).alias("fp")), BITS), "grid")
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    near = met.where("a <> b").select("a", "b").distinct().withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(apart, "b")))
+    near = near.where(F.col("k") <= NEAREST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = near.join(heads.select("fp", "x", "nx").toDF("a", "x", "nx"), "a").join(heads.select("fp", "x", "nx").toDF("b", "y", "ny"), "b").select("x", "nx", "y", "ny")
+    equal = own.join(heads.where("k > 1").drop("k"), "fp").where("node <> x").select("x", "nx", F.col("node").alias("y"), F.col("n").alias("ny"))
+    pairs = across.union(equal).where(F.least("nx", "ny") >= F.lit(share) * F.greatest("nx", "ny")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return pairs, met.join(own, F.col("fp") == F.col("a")).select("cell", F.col("node").alias("a"), F.col("cell").alias("b"))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -381,8 +406,8 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text one stays. Texts of the same words are one class; null, empty and blank texts are one. Columns stay as they are, whatever
     their names. An empty table gives an empty one.
 
-    Candidates come from the grid of the fingerprints' popcounts first; what it does not join meets in cells of least hashes too,
-    where a pair of exactly 0.8 is missed about once in 200000 (no cell in common, or the estimate beyond its bound), whatever the
+    The grid of the fingerprints' popcounts joins all such pairs within BITS bits; what its nearest pairs do not join meets in cells of least
+    hashes too, where a pair of exactly 0.8 is missed about once in 200000 (no cell in common, or the estimate beyond its bound), whatever the
     texts' lengths and the cells' sizes, and more similar ones hardly ever. No pair below `similarity` links. Classes are known by
     128 bits of hash of their words, shingles by 64.
     """
@@ -410,17 +435,20 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
         return stash(both.where(shared >= F.lit(similarity) * (total - shared)).select("a", "b"), name)
 
-    near = stash(grid_pairs(classes, similarity), "grid")
-    first = checked(near.where(F.col("k") <= NEAREST).select("a", "b"), "near")
+    near, grid = grid_partners(classes, similarity)
+    first = checked(near, "near")
     joined = components(first)
     met = stash(meetings(classes, similarity), "met")
-    rest = near.where(F.col("k") > NEAREST).select("a", "b").union(met.where("cell is null").select("a", "b")).distinct()
+    rest = met.where("cell is null").select("a", "b").distinct()
     rest = rest.join(joined.toDF("a", "ra"), "a", "left").join(joined.toDF("b", "rb"), "b", "left")
     rest = checked(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "rest")
     joined = components(first.union(rest))
-    roots = stash(classes.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
-    more = components(links_outside(met.where("cell is not null"), roots, classes, sets, similarity)).toDF("root", "top")
-    roots = roots.join(more, "root", "left").select(F.col("node").alias("n_"), F.coalesce("top", "root").alias("root"))
-    kept = classes.select("node", "p").join(roots, F.col("node") == F.col("n_")).groupBy("root").agg(F.min("p").alias("p"))
+    ends = classes.select("node", "n", "fp", *DIGESTS, "p").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = stash(ends, "roots")
+    cells = [(rows_outside(rows, ends, similarity, kind), kind) for rows, kind in ((grid, GRID), (met.where("cell is not null"), MET))]
+    own = sets(cells[0][0].select("node").union(cells[1][0].select("node")).distinct())
+    more = [links_of_rows(rows, own, ends, similarity, kind) for rows, kind in cells]
+    more = components(more[0].union(more[1])).toDF("root", "top")
+    kept = ends.select("root", "p").join(more, "root", "left").groupBy(F.coalesce("top", "root").alias("root")).agg(F.min("p").alias("p"))
     kept = stash(kept.select(F.col("p.k1").alias("key1_"), F.col("p.k2").alias("key2_")).distinct(), "keep")
     return keep_keys(rows, kept, docs.columns)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -644,6 +645,75 @@ def test_wider_grid_loses_none():
     assert [find(got, int(x)) for x in fp] == [find(want, int(x)) for x in fp] and len({find(want, int(x)) for x in fp}) < 200
 
 
+def test_grid_alone_joins_a_dense_group(spark, monkeypatch):
+    """Copies with two or three edits each are mostly within 11 bits and mostly not similar: every similar pair among them still joins its ends
+    without the cells of least hashes, and what the grid's tables hold is a row for each fingerprint and cell, not for each pair."""
+    monkeypatch.setattr(similar, "meetings", lambda classes, share: spark.createDataFrame([], "cell long, a long, b long"))
+    counts, write = {}, similar.stash
+
+    def counted(df, tag):
+        out = write(df, tag)
+        counts[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(similar, "stash", counted)
+    rng = random.Random(12)
+    base, rows = prose(140, rng).split(), []
+    for k in range(400):
+        w = list(base)
+        for i in rng.sample(range(140), 2 + k % 2):
+            w[i] = f"edit{rng.random()}"
+        rows.append((k, " ".join(w)))
+    of, h, _ = similar.shingles(pa.array([t for _, t in rows]), 5)
+    sets, fp = [set(h[of == k].tolist()) for k in range(400)], similar.majority(of, h, 400)
+    group, close = list(range(400)), 0
+    for a in range(400):
+        for b in np.flatnonzero(np.bitwise_count(fp[a] ^ fp[:a]) <= 11).tolist():
+            close += 1
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((group[a], group[b]))
+                group = [x if g == y else g for g in group]
+    got = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == set(group) and 1 < len(set(group)) < 400
+    assert counts["grid"] <= len(simhash.cells(np.unique(fp), simhash.parts_for(11))[0]) < close and counts["nearpairs"] <= 3 * 400 and counts["restpairs"] == 0
+
+
+def test_partners_of_cells_against_all_pairs():
+    """Each pair within 11 bits counts in one shared cell alone, and each fingerprint there names its nearest partner."""
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    for k in range(200):
+        fp[k] = fp[200 + k % 3]
+        for b in rng.integers(0, 64, 5):
+            fp[k] ^= np.uint64(1) << np.uint64(b)
+    fp = np.unique(fp)
+    row, cell = simhash.cells(fp, 4)
+    of, want = {}, {}
+    for r, c in zip(row.tolist(), cell.tolist(), strict=True):
+        of.setdefault(r, set()).add(c)
+    for i in range(len(fp)):
+        for j in np.flatnonzero(np.bitwise_count(fp[i] ^ fp) <= 11).tolist():
+            if i != j:
+                c = int(simhash.first_cells(fp[i : i + 1], fp[j : j + 1], 4)[0])
+                assert c in of[i] & of[j]
+                want.setdefault((c, int(fp[i])), []).append(int(fp[j]))
+    o = np.argsort(cell, kind="stable")
+    got = list(zip(*(x.tolist() for x in simhash.partners_in_cells(cell[o], fp[row][o], 11)), strict=True))
+    assert {x[:2] for x in got} == set(want) and len(got) == len(want)
+    assert all((a ^ b).bit_count() == min((a ^ y).bit_count() for y in want[c, a]) and b in want[c, a] for c, a, b in got)
+
+
+def test_grid_links_equal_fingerprints(spark):
+    """Of three texts with one fingerprint the two similar ones are linked, though the one of the least node is like neither."""
+    sets = {1: range(10), 2: range(20, 30), 3: range(20, 31), 4: range(50, 60)}
+    classes = spark.createDataFrame([(k, len(v), 99 if k < 4 else -99) for k, v in sets.items()], "node long, n long, fp long")
+    own = spark.createDataFrame([(k, list(v)) for k, v in sets.items()], "node long, shingles array<long>")
+    pairs, grid = similar.grid_partners(classes, 0.8)
+    assert sorted(tuple(r) for r in pairs.collect()) == [(1, 2), (1, 3)]
+    got = similar.links_outside(grid, classes.select("node", F.col("node").alias("root")), classes, lambda nodes: own.join(nodes, "node"), 0.8, similar.GRID)
+    assert [sorted(r) for r in got.collect()] == [[2, 3]]
+
+
 def test_majority_of_plain_counts():
     rng = np.random.default_rng(2)
     of, h = np.repeat([0, 2, 3], [1, 6, 9]), rng.integers(0, 1 << 63, 16, dtype=np.uint64)
