@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -280,16 +282,20 @@ def from_spark_timestamp(x: Column) -> Column:
     return _pair(fdiv(us, 1_000_000), F.pmod(us, F.lit(1_000_000)) * 1000)
 
 
+def interval_of(us: Column) -> Column:
+    """The day-time interval of a bigint of microseconds, over its whole range (make_dt_interval's seconds end at 10^12)."""
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(Decimal("0.000001"))) * us.cast("bigint")
+
+
 def to_interval(d: Column) -> Column:
+    """The day-time interval of a Duration, cut to microseconds towards zero; an error beyond an interval's range."""
     t = duration_normalize(d)
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), t["seconds"].cast("decimal(18,6)") + (tdiv(t["nanos"].cast("bigint"), 1000)).cast("decimal(18,6)") / 1_000_000)
+    return interval_of(t["seconds"]) * F.lit(1_000_000) + interval_of(tdiv(t["nanos"].cast("bigint"), 1000))
 
 
 def from_interval(x: Column) -> Column:
-    """A Duration of a day-time interval."""
-    epoch = F.timestamp_micros(F.lit(0))
-    us = F.unix_micros(epoch + x)
-    return _pair(tdiv(us, 1_000_000), us % 1_000_000 * 1000)
+    """A Duration of a day-time interval, in any session time zone."""
+    return F.when(x.isNotNull(), _pair(x.cast("interval second").cast("bigint"), F.extract(F.lit("SECOND"), x) * 1_000_000 % 1_000_000 * 1000))
 
 
 def interval_error(d: Column) -> Column:
