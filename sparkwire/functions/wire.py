@@ -22,22 +22,32 @@ def _nibbles(x: Column) -> Column:
 
 
 def varint_hex(x: Column) -> Column:
-    """LEB128 of a bigint read as unsigned: 1 to 10 bytes. Eight seven-bit groups are spread over one number, lowest first, whose
+    """LEB128 of a bigint read as unsigned: 1 to 10 bytes. Up to 28 bits the groups are put in place, lowest first, and their number's digits
+    are the text, as inside lambdas each node is interpreted. Beyond, eight seven-bit groups are spread over one number, whose
     digits are the text of all bytes but the last. Few nodes: messages have many fields, and plans are compiled."""
     x = x.cast("bigint")
-    spread = None
-    for i in range(8):
-        group = F.shiftleft(_bits(F.shiftrightunsigned(x, 7 * i) if i else x, 127), 56 - 8 * i)
-        spread = group if spread is None else spread.bitwiseOR(group)
-    digits = F.hex(spread.bitwiseOR(F.lit(-0x7F7F7F7F7F7F7F80)))
+
+    def placed(groups: int, last: int) -> Column:
+        """So many groups, lowest in the highest byte; the one at `last` holds all bits above."""
+        out = None
+        for i in range(groups):
+            by = 8 * (groups - 1 - i) - 7 * i
+            moved = F.shiftleft(x, by) if by > 0 else F.shiftrightunsigned(x, -by)
+            group = moved if i == last else _bits(moved, 127 << 8 * (groups - 1 - i))
+            out = group if out is None else out.bitwiseOR(group)
+        return out
+
+    digits = F.hex(placed(8, 8).bitwiseOR(F.lit(-0x7F7F7F7F7F7F7F80)))
 
     def text(n: Column) -> Column:
         last = F.call_function("shiftrightunsigned", x, n * 7 - 7)
         ninth = F.when(n == 10, byte_hex(F.shiftrightunsigned(x, 56).bitwiseOR(F.lit(128).cast("bigint")))).otherwise("")
         return F.concat(F.substr(digits, F.lit(1), n * 2 - 2), ninth, byte_hex(last))
 
-    bits = F.octet_length(F.bin(x))
-    return F.when((x >= 0) & (x < 128), byte_hex(x)).otherwise(let(F.floor((bits + 6) / 7).cast("int"), text))
+    out = F.when((x >= 0) & (x < 128), byte_hex(x))
+    for n in (2, 3, 4):
+        out = out.when((x >= 0) & (x < 1 << 7 * n), F.hex(placed(n, n - 1).bitwiseOR(F.lit(sum(128 << 8 * k for k in range(1, n))).cast("bigint"))))
+    return out.otherwise(let(F.floor((F.octet_length(F.bin(x)) + 6) / 7).cast("int"), text))
 
 
 def varint_len(x: Column) -> Column:
